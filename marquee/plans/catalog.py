@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
 
-from marquee.plans import search_queries  # noqa: F401
+from marquee.plans import lookup_queries, search_queries  # noqa: F401
