@@ -1,3 +1,4 @@
 """Import every query module so the registry is complete."""
 
-from marquee.plans import etl_queries, lookup_queries, search_queries  # noqa: F401
+from marquee.plans import (enrich_queries, etl_queries, lookup_queries,  # noqa: F401
+                           search_queries)
