@@ -1,0 +1,111 @@
+"""Catalogue ETL golden rows (FIXTURES.md S1/P1/W1/W2/P2/J4/S3/P3) on a tiny
+TSV dump written by the test."""
+
+import gzip
+import os
+
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from marquee.operators import catalog as cat_ops
+from marquee.operators.enrich import backfill_plots, compose_embedding_text
+from marquee.sources.dumps import read_dump
+from marquee.sources.manifest import changed_files, file_listing
+from marquee.sources.snapshot import sync_snapshot
+
+BASICS = [
+    "tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres",
+    "tt1\tmovie\tAlpha\tAlpha\t0\t1999\t\\N\t120\tDrama,Comedy",
+    "tt2\ttvMovie\t\"Beta\"\tBeta\t1\t2001\t\\N\t99999\t\\N",
+    "tt3\tshort\tGamma\tGamma\t0\t2003\t\\N\t10\tShort",
+    "tt4\tmovie\tDelta\tDelta\t\\N\t\\N\t\\N\tabc\tHorror",
+]
+RATINGS = ["tconst\taverageRating\tnumVotes", "tt1\t7.0\t100", "tt2\t7.0\t500"]
+PRINCIPALS = ["tconst\tordering\tnconst\tcategory\tjob\tcharacters",
+              "tt1\t2\tnm1\tactor\t\\N\t\\N", "tt1\t1\tnm1\tACTOR\t\\N\t[\"X\"]",
+              "tt1\t3\tnm2\tdirector\t\\N\t\\N", "tt1\t4\tnm3\teditor\t\\N\t\\N",
+              "tt1\tx\tnm4\twriter\t\\N\t\\N", "tt3\t1\tnm1\tactor\t\\N\t\\N"]
+NAMES = ["nconst\tprimaryName\tbirthYear\tdeathYear\tprimaryProfession\tknownForTitles",
+         "nm1\tAnn Lee\t\\N\t\\N\t\\N\t\\N", "nm2\t\\N\t\\N\t\\N\t\\N\t\\N"]
+
+
+def _write(path, lines):
+    with gzip.open(path, "wt", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def _load(spark, d):
+    paths = {}
+    for name, lines in (("title_basics", BASICS), ("title_ratings", RATINGS),
+                        ("title_principals", PRINCIPALS), ("name_basics", NAMES)):
+        p = os.path.join(d, f"{name}.tsv.gz")
+        _write(p, lines)
+        paths[name] = read_dump(spark, p, name)
+    return paths
+
+
+def test_s1_p1_w1(spark, tmp_dir):
+    d = _load(spark, tmp_dir)
+    typed = {r.tconst: r for r in cat_ops.type_titles(d["title_basics"], d["title_ratings"]).collect()}
+    assert typed["tt2"].primary_title == '"Beta"' and typed["tt2"].runtime_minutes is None
+    assert typed["tt2"].genres is None and typed["tt4"].runtime_minutes is None
+    assert typed["tt4"].is_adult is None and typed["tt4"].start_year is None
+    assert list(typed["tt1"].genres) == ["Drama", "Comedy"] and typed["tt1"].is_adult is False
+    all_rows = cat_ops.top_titles(cat_ops.type_titles(d["title_basics"], d["title_ratings"]), 0)
+    assert [r.tconst for r in all_rows.collect()] == ["tt2", "tt1", "tt4"]
+    one = cat_ops.top_titles(cat_ops.type_titles(d["title_basics"], d["title_ratings"]), 1)
+    assert [r.tconst for r in one.collect()] == ["tt2"]
+
+
+def test_p2_w2_j4(spark, tmp_dir):
+    d = _load(spark, tmp_dir)
+    sel = cat_ops.top_titles(cat_ops.type_titles(d["title_basics"], d["title_ratings"]), 0)
+    pr = cat_ops.restrict_to(cat_ops.dedup_principals(cat_ops.clean_principals(d["title_principals"])),
+                             sel, "tconst", bounded=True)
+    got = sorted((r.tconst, r.nconst, r.category, r.ordering) for r in pr.collect())
+    assert got == [("tt1", "nm1", "actor", 1), ("tt1", "nm2", "director", 3), ("tt1", "nm4", "writer", None)]
+    people = {r.nconst: (r.id, r.primary_name) for r in cat_ops.build_people(pr, d["name_basics"]).collect()}
+    assert people == {"nm1": (1, "Ann Lee"), "nm2": (2, "nm2"), "nm4": (3, "nm4")}
+    existing = spark.createDataFrame([Row(id=10, nconst="nm2", primary_name="old")])
+    again = {r.nconst: r.id for r in cat_ops.build_people(pr, d["name_basics"], existing).collect()}
+    assert again == {"nm2": 10, "nm1": 11, "nm4": 12}
+
+
+def test_s3_golden(spark):
+    target = spark.createDataFrame([Row(id=1, tconst="tt1", votes=1, plot="p", embedding=[1.0]),
+                                    Row(id=2, tconst="tt9", votes=5, plot=None, embedding=None)],
+                                   "id long, tconst string, votes int, plot string, embedding array<float>")
+    source = spark.createDataFrame([Row(tconst="tt1", votes=2), Row(tconst="tt2", votes=3)])
+    out = {r.tconst: r for r in sync_snapshot(target, source, "tconst").collect()}
+    assert out["tt1"].change == "update" and out["tt1"].plot == "p" and list(out["tt1"].embedding) == [1.0]
+    assert out["tt1"].id == 1 and out["tt2"].change == "insert" and out["tt2"].id == 3
+    assert out["tt9"].change == "delete"
+
+
+def test_p3_golden(spark):
+    m = spark.createDataFrame([Row(id=1, tconst="tt1", primary_title="Alpha", original_title="Alpha",
+                                   start_year=1999, end_year=None, genres=["Drama", "Comedy"],
+                                   runtime_minutes=120, is_adult=False, rating=7.0, plot="A tale.")],
+                              "id long, tconst string, primary_title string, original_title string, "
+                              "start_year smallint, end_year smallint, genres array<string>, "
+                              "runtime_minutes smallint, is_adult boolean, rating double, plot string")
+    actors = spark.createDataFrame([(1, ["Ann Lee"])], "movie_id long, actor_names array<string>")
+    assert compose_embedding_text(m, actors).first().text == (
+        "Alpha (since 1999)\nGenres: Drama, Comedy; Runtime: 120 minutes; Audience: All ages; "
+        "Average rating: 7.0/10\nActors: Ann Lee\n\nOverview: A tale.")
+
+
+def test_v7_cap_counts_updates(spark):
+    movies = spark.createDataFrame([(i, None, "m") for i in range(1, 6)],
+                                   "id long, plot string, embedding_model string")
+    ov = spark.createDataFrame([(1, "  "), (2, " two "), (4, "four"), (5, "five")], "id long, overview string")
+    out = {r.id: r for r in backfill_plots(movies, ov, max_updates=2).collect()}
+    assert out[2].plot == "two" and out[4].plot == "four" and out[5].plot is None
+    assert out[2].embedding_model is None and out[5].embedding_model == "m"
+
+
+def test_s2_second_run_empty(spark):
+    cur = file_listing(spark, "/root/testdata/sf0.001/*.parquet")
+    changed, manifest = changed_files(cur, None)
+    again, _ = changed_files(cur, manifest)
+    assert changed.count() == 14 and again.count() == 0
