@@ -43,14 +43,16 @@ def dot_cols(a: Column | str, b: Column | str) -> Column:
         F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_literal(vec: Column | str, q: Sequence[float]) -> Column:
+def cosine_literal(vec: Column | str, q: Sequence[float],
+                   norm: Column | str | None = None) -> Column:
     """1 - cosine distance against a constant vector.
 
     A zero-norm row yields NULL instead of NaN, so callers can drop it;
     the reference would sort such a NaN above every real similarity.
+    ``norm``: a stored per-row norm column, which saves one pass per row.
     """
     qn = math.sqrt(sum(float(x) * float(x) for x in q))
-    vn = norm_expr(vec)
+    vn = _col(norm) if norm is not None else norm_expr(vec)
     if qn == 0.0:
         return F.lit(None).cast("double")
     return F.when(vn > 0, dot_literal(vec, q) / (vn * F.lit(qn)))

@@ -48,6 +48,10 @@ def hybrid_score(sim, w=HYBRID_WEIGHTS):
             + F.lit(w[2]) * F.log10(F.greatest(F.coalesce(F.col("votes"), F.lit(0)), F.lit(1)).cast("double")))
 
 
+def _norm(catalog: DataFrame):
+    return "embedding_norm" if "embedding_norm" in catalog.columns else None
+
+
 def _top_k_then_cast(scored: DataFrame, score_col: str, k: int, cast: DataFrame,
                      people: DataFrame, cast_k: int) -> DataFrame:
     top_ids = [r[0] for r in (scored.orderBy(F.desc(score_col), F.asc("id"))
@@ -79,7 +83,7 @@ def search(catalog: DataFrame, cast: DataFrame, people: DataFrame,
     base = range_filter(base, from_year, to_year, runtime_max, min_rating)
     base = genre_filter(base, include_genres, exclude_genres, case_sensitive)
     base = actor_all(base, cast, people, actors)
-    scored = (base.withColumn("similarity", cosine_literal("embedding", qvec))
+    scored = (base.withColumn("similarity", cosine_literal("embedding", qvec, _norm(catalog)))
               .filter(F.col("similarity").isNotNull())
               .select("id", "tconst", "primary_title", "start_year", "rating", "votes",
                       "genres", "plot", "title_type", "runtime_minutes", "is_adult",
@@ -98,7 +102,7 @@ def hybrid_search(catalog: DataFrame, cast: DataFrame, people: DataFrame,
     base = range_filter(base, from_year, to_year, runtime_max, min_rating)
     base = genre_filter(base, include_genres, exclude_genres)
     base = actor_any(base, cast, people, [a.lower() for a in (actor_names or []) if a])
-    sim = cosine_literal("embedding", qvec)
+    sim = cosine_literal("embedding", qvec, _norm(catalog))
     scored = (base.withColumn("sim", sim).filter(F.col("sim").isNotNull())
               .withColumn("score", hybrid_score(F.col("sim"), weights))
               .select("id", "tconst", "primary_title", "start_year", "rating", "votes",

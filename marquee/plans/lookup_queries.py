@@ -76,9 +76,9 @@ SELECT c.tconst, array_to_string(list_filter(list_transform(c.genres, lambda x:
 FROM catalog c CROSS JOIN probe LEFT JOIN top_cast tc ON tc.movie_id = c.id""",
     "catalog", "top_cast", ctes=[PROBE_SQL]))
 def p5_shape_hits(spark, sf):
-    cat = sv.catalog(spark, sf)
+    cat = sv.stored_catalog(spark, sf)
     q = probe_vector(cat)
-    tc = top_cast(sv.cast(spark, sf), sv.person(spark, sf), 5)
+    tc = top_cast(sv.stored_cast(spark, sf), sv.stored_person(spark, sf), 5)
     hits = (cat.withColumn("similarity", F.round(cosine_literal("embedding", q), 6))
             .join(tc, cat["id"] == tc["movie_id"], "left"))
     s = shape_hits(hits)
@@ -121,8 +121,8 @@ u AS (
                     ELSE 'imdb://movie/tt' || lpad(CAST(c_custkey * 2 AS VARCHAR), 7, '0') END AS uri
         FROM customer))"""]))
 def s5_lookup_resources(spark, sf):
-    r = lookup_resources(resource_requests(spark, sf), sv.catalog(spark, sf),
-                         sv.cast(spark, sf), sv.person(spark, sf))
+    r = lookup_resources(resource_requests(spark, sf), sv.stored_catalog(spark, sf),
+                         sv.stored_cast(spark, sf), sv.stored_person(spark, sf))
     return r.select("pos", "uri", "status", "message", "tconst",
                     F.col("start_year").alias("year"), "rating", "votes", "similarity",
                     F.array_join("actor_names", "|").alias("actor_names"))

@@ -42,8 +42,8 @@ V3_PARAMS = dict(limit=10, from_year=1975, min_rating=4.0, exclude_genres=["anvi
 
 
 def v3_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    cat = sv.catalog(spark, sf)
-    res = hybrid_search(cat, sv.cast(spark, sf), sv.person(spark, sf), probe_vector(cat),
+    cat = sv.stored_catalog(spark, sf)
+    res = hybrid_search(cat, sv.stored_cast(spark, sf), sv.stored_person(spark, sf), probe_vector(cat),
                         **V3_PARAMS)
     return res.select("rank", "tconst", "primary_title", "start_year", "rating", "votes",
                       _r6("sim").alias("sim"), _r6("score").alias("score"),
@@ -85,7 +85,7 @@ top AS (
 SELECT id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS sim
 FROM catalog, probe WHERE embedding IS NOT NULL""", "catalog", ctes=[PROBE_SQL]))
 def v1_cosine(spark, sf):
-    cat = sv.catalog(spark, sf)
+    cat = sv.stored_catalog(spark, sf)
     q = probe_vector(cat)
     return (cat.filter(F.col("embedding").isNotNull())
             .select("id", F.round(cosine_literal("embedding", q), 6).alias("sim")))
@@ -127,8 +127,8 @@ top AS (
   SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, id ASC) AS INTEGER) AS rank
   FROM scored WHERE similarity IS NOT NULL QUALIFY rank <= 8)"""]))
 def v2_search(spark, sf):
-    cat = sv.catalog(spark, sf)
-    res = search(cat, sv.cast(spark, sf), sv.person(spark, sf), probe_vector(cat), **V2_PARAMS)
+    cat = sv.stored_catalog(spark, sf)
+    res = search(cat, sv.stored_cast(spark, sf), sv.stored_person(spark, sf), probe_vector(cat), **V2_PARAMS)
     return res.select("rank", "tconst", F.col("primary_title").alias("title"),
                       F.col("start_year").alias("year"), "rating", "votes",
                       _r6("similarity").alias("similarity"), _j("genres").alias("genres"),
@@ -155,7 +155,7 @@ cand AS (
 
 def _knn_query(mode: str, k: int):
     def q(spark, sf):
-        cat = sv.catalog(spark, sf)
+        cat = sv.stored_catalog(spark, sf)
         res = knn_join(sv.requests(spark, sf), cat, k=k, mode=mode)
         out = res.join(cat.select("id", "tconst"), "id")
         cols = ["request_id", "rank", "tconst", _r6("similarity").alias("similarity")]
@@ -183,21 +183,21 @@ WHERE rank <= 5""", "catalog", "requests", ctes=[_KNN_CAND]))(_knn_query("hybrid
 @register("f1_title_type", with_views(
     "SELECT id, title_type FROM catalog WHERE lower(title_type) IN ('promo', 'economy')", "catalog"))
 def f1_title_type(spark, sf):
-    return flt.title_type_filter(sv.catalog(spark, sf), ("promo", "economy")).select("id", "title_type")
+    return flt.title_type_filter(sv.stored_catalog(spark, sf), ("promo", "economy")).select("id", "title_type")
 
 
 @register("f2_range_filter", with_views("""
 SELECT id FROM catalog WHERE start_year >= 1980 AND start_year <= 2010
   AND runtime_minutes <= 150 AND rating >= 5.0""", "catalog"))
 def f2_range_filter(spark, sf):
-    return flt.range_filter(sv.catalog(spark, sf), 1980, 2010, 150, 5.0).select("id")
+    return flt.range_filter(sv.stored_catalog(spark, sf), 1980, 2010, 150, 5.0).select("id")
 
 
 @register("f3_genre_filter", with_views("""
 SELECT id FROM catalog WHERE coalesce(list_has_any(genres, ['red', 'hot']), false)
   AND NOT coalesce(list_has_any(genres, ['ring']), false)""", "catalog"))
 def f3_genre_filter(spark, sf):
-    return flt.genre_filter(sv.catalog(spark, sf), ["red", "hot"], ["ring"]).select("id")
+    return flt.genre_filter(sv.stored_catalog(spark, sf), ["red", "hot"], ["ring"]).select("id")
 
 
 @register("f3_genre_filter_ci", with_views("""
@@ -205,7 +205,7 @@ SELECT id FROM catalog
 WHERE coalesce(list_has_any(list_transform(genres, lambda x: lower(x)), ['red', 'gear']), false)""",
     "catalog"))
 def f3_genre_filter_ci(spark, sf):
-    return flt.genre_filter(sv.catalog(spark, sf), ["RED", "Gear"], None,
+    return flt.genre_filter(sv.stored_catalog(spark, sf), ["RED", "Gear"], None,
                             case_sensitive=False).select("id")
 
 
@@ -216,7 +216,7 @@ SELECT c.id FROM catalog c WHERE EXISTS (
     AND lower(p.primary_name) IN ('supplier#000000003', 'supplier#000000011'))""",
     "catalog", "cast_", "person"))
 def f4_actor_any(spark, sf):
-    return flt.actor_any(sv.catalog(spark, sf), sv.cast(spark, sf), sv.person(spark, sf),
+    return flt.actor_any(sv.stored_catalog(spark, sf), sv.stored_cast(spark, sf), sv.stored_person(spark, sf),
                          ["supplier#000000003", "supplier#000000011"]).select("id")
 
 
@@ -230,7 +230,7 @@ WHERE EXISTS (SELECT 1 FROM cast_ mp JOIN person p ON p.id = mp.person_id
                 AND regexp_replace(lower(p.primary_name), '[^a-z0-9]', '', 'g') LIKE '%00000007%')""",
     "catalog", "cast_", "person"))
 def f5_actor_all(spark, sf):
-    return flt.actor_all(sv.catalog(spark, sf), sv.cast(spark, sf), sv.person(spark, sf),
+    return flt.actor_all(sv.stored_catalog(spark, sf), sv.stored_cast(spark, sf), sv.stored_person(spark, sf),
                          ["Supplier#000000003", "0000000 7", "Киану"]).select("id")
 
 
@@ -240,20 +240,20 @@ WHERE start_year >= 1975 AND rating >= 4.0
   AND coalesce(list_has_any(genres, ['red', 'blue']), false)
   AND NOT coalesce(list_has_any(genres, ['anvil']), false)""", "catalog"))
 def f6_count_candidates(spark, sf):
-    return flt.count_candidates(sv.catalog(spark, sf), ["red", "blue"], ["anvil"],
+    return flt.count_candidates(sv.stored_catalog(spark, sf), ["red", "blue"], ["anvil"],
                                 from_year=1975, min_rating=4.0)
 
 
 @register("f7_missing_embedding", with_views(
     "SELECT id, tconst FROM catalog WHERE embedding_model IS NULL ORDER BY id LIMIT 500", "catalog"))
 def f7_missing_embedding(spark, sf):
-    return flt.missing_embedding(sv.catalog(spark, sf), 500).select("id", "tconst")
+    return flt.missing_embedding(sv.stored_catalog(spark, sf), 500).select("id", "tconst")
 
 
 @register("f7_missing_plot", with_views(
     "SELECT id FROM catalog WHERE plot IS NULL ORDER BY id LIMIT 100", "catalog"))
 def f7_missing_plot(spark, sf):
-    return flt.missing_plot(sv.catalog(spark, sf), limit=100).select("id")
+    return flt.missing_plot(sv.stored_catalog(spark, sf), limit=100).select("id")
 
 
 # ---- W2 / W3 ---------------------------------------------------------------------------
@@ -268,7 +268,7 @@ def w2_first_per_key(spark, sf):
 SELECT movie_id, array_to_string(actor_ids, '|') AS actor_ids,
        array_to_string(actor_names, '|') AS actor_names FROM top_cast""", "top_cast"))
 def w3_top_cast(spark, sf):
-    tc = top_cast(sv.cast(spark, sf), sv.person(spark, sf), 5)
+    tc = top_cast(sv.stored_cast(spark, sf), sv.stored_person(spark, sf), 5)
     return tc.select("movie_id", _j("actor_ids").alias("actor_ids"),
                      _j("actor_names").alias("actor_names"))
 
@@ -278,7 +278,7 @@ def w3_top_cast(spark, sf):
 @register("v5_approx_knn")
 def v5_approx_knn(spark, sf):
     from marquee.operators.ann import approx_knn_join
-    cat = sv.catalog(spark, sf)
+    cat = sv.stored_catalog(spark, sf)
     res = approx_knn_join(sv.requests(spark, sf).select("request_id", "qvec"), cat, k=10,
                           n_cells=16, nprobe=12)
     return res.select("request_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
