@@ -62,6 +62,10 @@ def sync_snapshot(target: DataFrame, source: DataFrame, key: str = "tconst",
     if id_col is None or id_col not in t_cols:
         return rows
     max_id = target.agg(F.max(id_col)).first()[0] or 0  # one scalar
+    # The change set feeds both the output and the id numbering of inserts;
+    # a reliable checkpoint (shared checkpoint folder) keeps the full outer
+    # join from being planned twice and cuts the lineage of the new version.
+    rows = rows.checkpoint()
     new_ids = assign_ids(rows.filter(F.col("change") == INSERT), key, "_new_id", start=max_id)
     return (rows.join(new_ids, key, "left")
             .withColumn(id_col, F.coalesce(F.col(id_col), F.col("_new_id"))).drop("_new_id"))
