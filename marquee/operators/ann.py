@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from marquee.functions.vector import unit_vector
 from marquee.operators.search import _KNN_SCHEMA, _empty_candidates, _requests_payload, _score_block
+from marquee.session import ship_package
 
 
 def build_ivf(catalog: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20):
@@ -45,6 +46,7 @@ def approx_knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10, n_cell
                     mode: str = "similarity", weights=(0.60, 0.30, 0.10)) -> DataFrame:
     """V5: approximate V4. Returns (request_id, id, similarity, score, rank)."""
     spark = requests.sparkSession
+    ship_package(spark)
     cat = catalog.filter(F.col("embedding").isNotNull()).select(
         "id", "embedding", "start_year", "runtime_minutes", "rating", "votes", "genres")
     model, cents = build_ivf(cat, n_cells, seed)

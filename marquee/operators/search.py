@@ -25,6 +25,7 @@ from marquee.operators.cast import top_cast
 from marquee.operators.filters import (
     MOVIE_TITLE_TYPES, actor_all, actor_any, genre_filter, range_filter,
     title_type_filter)
+from marquee.session import ship_package
 
 # The hybrid score weights (similarity, rating, votes) and the
 # result cap of the search service.
@@ -255,6 +256,7 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
     No cross join is planned and no pair set is materialised.
     """
     spark = requests.sparkSession
+    ship_package(spark)
     cat = catalog.filter(F.col("embedding").isNotNull())
     if title_types is not None:
         cat = title_type_filter(cat, title_types)

@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, app: str = "marquee",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -66,3 +67,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def sf_dir_default() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder, making sure the
+    folder is set on this session first (never ``localCheckpoint``: its
+    blocks die with the executor that holds them)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``marquee`` importable in executor Python workers.
+
+    Operators that run Python tasks (``mapInPandas``, ``applyInPandas*``)
+    pickle functions by reference to this package, so the workers must be
+    able to import it. A deployment normally passes the package with
+    ``--py-files`` or installs it on the executors; otherwise this zips it
+    once per SparkContext and registers it with ``addPyFile`` (Spark then
+    serves the file to every executor). The zip goes under the checkpoint
+    folder when that is a local path, else into the driver's scratch area.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    ckpt = ensure_checkpoint_dir(spark)
+    base = ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt
+    if "://" in base or not os.path.isdir(os.path.dirname(base.rstrip("/")) or "/"):
+        base = tempfile.mkdtemp(prefix="marquee-pyfiles-")
+    out_dir = os.path.join(base, "pyfiles")
+    os.makedirs(out_dir, exist_ok=True)
+    zpath = os.path.join(out_dir, f"marquee-{os.getpid()}-{key}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

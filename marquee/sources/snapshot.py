@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.catalog import assign_ids
+from marquee.session import reliable_checkpoint
 
 # Change kinds of a sync.
 INSERT, UPDATE, UNCHANGED, DELETE = "insert", "update", "unchanged", "delete"
@@ -65,7 +66,7 @@ def sync_snapshot(target: DataFrame, source: DataFrame, key: str = "tconst",
     # The change set feeds both the output and the id numbering of inserts;
     # a reliable checkpoint (shared checkpoint folder) keeps the full outer
     # join from being planned twice and cuts the lineage of the new version.
-    rows = rows.checkpoint()
+    rows = reliable_checkpoint(rows)
     new_ids = assign_ids(rows.filter(F.col("change") == INSERT), key, "_new_id", start=max_id)
     return (rows.join(new_ids, key, "left")
             .withColumn(id_col, F.coalesce(F.col(id_col), F.col("_new_id"))).drop("_new_id"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marquee.session import ship_package
+
 
 # Callback payloads, awaited-input kinds and limits.
 REPORT_CALLBACK = "report:start"
@@ -172,6 +174,7 @@ def chat_sessions(updates: DataFrame) -> DataFrame:
     batch's updates of a chat to its task, so a very busy chat costs a
     bounded group per batch, never its whole history. Emits preference,
     opinion, complaint, command and enqueue events."""
+    ship_package(updates.sparkSession)
     cols = ["chat_id", "update_id", "ts", "callback_data", "text", "reply_to_text"]
     return (updates.select(*cols).groupBy("chat_id")
             .applyInPandasWithState(_state_fn, EVENT_SCHEMA, STATE_SCHEMA, "append",
