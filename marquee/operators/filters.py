@@ -118,19 +118,22 @@ def actor_all(df: DataFrame, cast: DataFrame, people: DataFrame, names,
     """for every requested name some actor's stripped lower name
     contains the stripped token.
 
-    One aggregation over the actor rows computes, per movie, whether each
-    token is matched (partial aggregation before the shuffle, so a movie with
-    a huge cast costs no skew), then a semi join keeps the movies that match
-    all tokens.
+    The token tests run on the people table first (far smaller than the
+    cast), so only cast rows of matching people reach the join and the
+    per-movie aggregation -- which is partial before the shuffle, so a movie
+    with a huge cast costs no skew. A semi join keeps movies that match all
+    tokens.
     """
     tokens = list(dict.fromkeys(t for t in (sanitize_actor_token(n) for n in (names or [])) if t))
     if not tokens:
         return df
-    rows = actor_rows(cast, people).select(
-        "movie_id", stripped_name("primary_name").alias("sname"))
-    aggs = [F.max(F.col("sname").contains(t).cast("int")).alias(f"t{i}")
-            for i, t in enumerate(tokens)]
-    per_movie = rows.groupBy("movie_id").agg(*aggs)
+    sname = stripped_name("primary_name")
+    flags = [sname.contains(t).cast("int").alias(f"t{i}") for i, t in enumerate(tokens)]
+    hits = (people.select(F.col("id").alias("person_id"), *flags)
+            .filter(reduce(lambda a, b: a | b, [F.col(f"t{i}") == 1 for i in range(len(tokens))])))
+    rows = (cast.filter(F.col("category").isin(*ACTOR_CATEGORIES))
+            .select("movie_id", "person_id").join(hits, "person_id"))
+    per_movie = rows.groupBy("movie_id").agg(*[F.max(f"t{i}").alias(f"t{i}") for i in range(len(tokens))])
     keep = per_movie.filter(_all([F.col(f"t{i}") == 1 for i in range(len(tokens))]))
     return df.join(keep.select(F.col("movie_id").alias(id_col)), id_col, "left_semi")
 

@@ -82,3 +82,29 @@ def test_knn_join_blocked_path_equals_broadcast(spark):
     b = {(r.request_id, r["rank"], r.id) for r in
          knn_join(req, cat, k=4, max_broadcast_requests=7).collect()}
     assert a == b
+
+
+def test_p6_golden(spark):
+    from marquee.operators.lookup import sanitize_requests
+    df = spark.createDataFrame(
+        [("  comedy ", None, [" Action ", "  "], ["Drama", None], ["Tom Hanks", "  Meryl streep "]),
+         ("x", 0, None, None, None), ("y", 99, [None], [], [None])],
+        "query string, limit int, include_genres array<string>, exclude_genres array<string>, "
+        "actors array<string>")
+    r = sanitize_requests(df).collect()
+    assert r[0].query == "comedy" and r[0].limit == 15 and list(r[0].include_genres) == ["Action"]
+    assert list(r[0].exclude_genres) == ["Drama"] and list(r[0].actors) == ["tom hanks", "meryl streep"]
+    assert r[1].limit == 1 and list(r[1].include_genres) == [] and r[2].limit == 15
+    assert list(r[2].actors) == []
+
+
+def test_s5_statuses(spark):
+    from marquee.operators.lookup import lookup_resources
+    cat = sv.stored_catalog(spark, SF001)
+    uris = spark.createDataFrame([(1, "http://x/tt1"), (2, "imdb://movie/ "), (3, "imdb://movie/tt9999999"),
+                                  (4, "imdb://movie/tt0000001")], "pos long, uri string")
+    out = {r.pos: r for r in lookup_resources(uris, cat, sv.stored_cast(spark, SF001),
+                                              sv.stored_person(spark, SF001)).collect()}
+    assert out[1].message == "Unsupported resource" and out[2].message == "Missing IMDb identifier"
+    assert out[3].message == "Movie tt9999999 not found." and out[4].status == "found"
+    assert out[4].similarity == 1.0 and len(out[4].actor_names or []) <= 5
