@@ -177,18 +177,21 @@ def r5_append_opinions(spark, sf):
     return stored_opinions(spark, sf).select("user_id", "event_id", "title", "opinion")
 
 
-@register("r6_profile_summary", _with(FOLD_SQL + OPINION_SQL[1:] + ["""recent AS (
+SUMMARY_SQL = FOLD_SQL + OPINION_SQL[1:] + ["""recent AS (
   SELECT user_id, string_agg(CASE WHEN coalesce(opinion, '') = '' THEN title
                                   ELSE title || ' — ' || opinion END, '; ' ORDER BY ts DESC, event_id DESC) AS r
   FROM (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5)
-  GROUP BY user_id)"""], """
-SELECT f.user_id, trim(concat_ws(' ',
-  CASE WHEN len(liked_genres) > 0 THEN 'Preferred genres: [' || array_to_string(liked_genres, ', ') || '].' END,
-  CASE WHEN len(liked_actors) > 0 THEN 'Favorite actors: [' || array_to_string(liked_actors, ', ') || '].' END,
-  CASE WHEN len(liked_directors) > 0 THEN 'Favorite directors: [' || array_to_string(liked_directors, ', ') || '].' END,
-  CASE WHEN len(blocked) > 0 THEN 'Block list: [' || array_to_string(blocked, ', ') || '].' END,
-  CASE WHEN coalesce(r.r, '') <> '' THEN 'Recent opinions: ' || r.r || '.' END)) AS summary
-FROM folded f LEFT JOIN recent r USING (user_id)"""))
+  GROUP BY user_id)""", """summary AS (
+  SELECT f.user_id, trim(concat_ws(' ',
+    CASE WHEN len(liked_genres) > 0 THEN 'Preferred genres: [' || array_to_string(liked_genres, ', ') || '].' END,
+    CASE WHEN len(liked_actors) > 0 THEN 'Favorite actors: [' || array_to_string(liked_actors, ', ') || '].' END,
+    CASE WHEN len(liked_directors) > 0 THEN 'Favorite directors: [' || array_to_string(liked_directors, ', ') || '].' END,
+    CASE WHEN len(blocked) > 0 THEN 'Block list: [' || array_to_string(blocked, ', ') || '].' END,
+    CASE WHEN coalesce(r.r, '') <> '' THEN 'Recent opinions: ' || r.r || '.' END)) AS summary
+  FROM folded f LEFT JOIN recent r USING (user_id))"""]
+
+
+@register("r6_profile_summary", _with(SUMMARY_SQL, "SELECT user_id, summary FROM summary"))
 def r6_profile_summary(spark, sf):
     return profile_summary(fold_profiles(pref_events(spark, sf)), stored_opinions(spark, sf))
 
