@@ -113,8 +113,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# Bump when a stored stand-in's definition changes: the key of the stored
+# copy includes it, so an old copy is never read for a new definition.
+STORE_VERSION = 2
+
+
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    key = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
+    key = hashlib.sha1(f"{os.path.abspath(sf)}|v{STORE_VERSION}".encode()).hexdigest()[:12]
     path = scratch_path(spark, f"tables/{key}/{name}")
     if not _exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
