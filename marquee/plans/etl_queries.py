@@ -274,7 +274,8 @@ _SYNC_CTES = (f"""tgt AS (SELECT * FROM catalog WHERE start_year <= 2010)""",
 
 
 def _sync(spark, sf):
-    target = sv.catalog(spark, sf).filter(F.col("start_year") <= 2010)
+    # the current catalogue version is the stored table (as the ETL wrote it)
+    target = sv.stored_catalog(spark, sf).filter(F.col("start_year") <= 2010)
     source = cat_ops.top_titles(typed_titles(spark, sf), SYNC_N).drop("rank")
     return sync_snapshot(target, source, "tconst")
 
