@@ -118,6 +118,105 @@ def hybrid_search(catalog: DataFrame, cast: DataFrame, people: DataFrame,
 REQUEST_FILTERS = ("from_year", "to_year", "runtime_max", "min_rating",
                    "include_genres", "exclude_genres")
 
+
+def _actor_tokens(mode: str):
+    """Per-request actor filter keys: V2 mode -> stripped fuzzy tokens (F5,
+    all must match), V3 mode -> lower-cased exact names (F4, any may match)."""
+    arr = F.coalesce(F.col("actors"), F.array().cast("array<string>"))
+    if mode == "hybrid":
+        keys = F.transform(arr, lambda a: F.lower(a))
+    else:
+        keys = F.transform(arr, lambda a: F.regexp_replace(F.lower(a), "[^a-z0-9]", ""))
+    return F.array_distinct(F.filter(keys, lambda t: t.isNotNull() & (t != "")))
+
+
+def _token_hits(people: DataFrame, tokens: list[str]) -> DataFrame:
+    """(person_id, token) for every person whose stripped lower name
+    contains a token: one Aho-Corasick pass per name inside ``mapInPandas``
+    (the token set is bounded by the size-checked request side), so no
+    non-equi join is planned."""
+    from marquee.operators.filters import stripped_name
+    spark = people.sparkSession
+    auto_b = spark.sparkContext.broadcast(sorted(set(tokens)))
+    schema = T.StructType([T.StructField("person_id", T.LongType()),
+                           T.StructField("token", T.StringType())])
+
+    def match(it):
+        try:
+            import ahocorasick
+        except ImportError:  # plain scan fallback
+            ahocorasick = None
+        toks = auto_b.value
+        if ahocorasick is not None:
+            a = ahocorasick.Automaton()
+            for t in toks:
+                a.add_word(t, t)
+            a.make_automaton()
+        for pdf in it:
+            pid, tok = [], []
+            for i, name in zip(pdf["person_id"].to_numpy(), pdf["sname"].values):
+                if not name:
+                    continue
+                found = ({t for _, t in a.iter(name)} if ahocorasick is not None
+                         else {t for t in toks if t in name})
+                for t in found:
+                    pid.append(int(i))
+                    tok.append(t)
+            yield pd.DataFrame({"person_id": pd.Series(pid, dtype="int64"),
+                                "token": pd.Series(tok, dtype="object")})
+    return (people.select(F.col("id").alias("person_id"), stripped_name("primary_name").alias("sname"))
+            .mapInPandas(match, schema))
+
+
+def _actor_pairs(req_act: DataFrame, cast: DataFrame, people: DataFrame, mode: str) -> DataFrame:
+    """(request_id, id) movies passing each request's actor filter."""
+    from marquee.operators.filters import ACTOR_CATEGORIES
+    rt = req_act.select("request_id", F.explode("_tokens").alias("token")).distinct()
+    c = cast.filter(F.col("category").isin(*ACTOR_CATEGORIES)).select("movie_id", "person_id")
+    if mode == "hybrid":  # exact lower-cased name, any of
+        p = people.select(F.col("id").alias("person_id"), F.lower("primary_name").alias("token"))
+        mt = c.join(p, "person_id").select("movie_id", "token")
+        return (rt.join(mt, "token").select("request_id", F.col("movie_id").alias("id")).distinct())
+    tokens = [r[0] for r in rt.select("token").distinct().collect()]  # bounded by the request check
+    mt = c.join(_token_hits(people, tokens), "person_id").select("movie_id", "token").distinct()
+    need = req_act.select("request_id", F.size("_tokens").alias("_need"))
+    got = rt.join(mt, "token").groupBy("request_id", "movie_id").agg(F.count(F.lit(1)).alias("_got"))
+    return (got.join(need, "request_id").filter(F.col("_got") == F.col("_need"))
+            .select("request_id", F.col("movie_id").alias("id")))
+
+
+def _score_pairs(pairs: DataFrame, req_act: DataFrame, cat: DataFrame, mode: str, weights) -> DataFrame:
+    """Score eligible (request, movie) pairs with the request's filters
+    (equi-joins on the pair keys; cosine as a JVM expression)."""
+    from marquee.functions.vector import cosine_cols
+    r = req_act.drop("_tokens", "actors")
+    j = pairs.join(cat, "id").join(r, "request_id")
+    preds = [F.lit(True)]
+    for col, cmp in (("from_year", lambda v, b: v >= b), ("to_year", lambda v, b: v <= b)):
+        if col in r.columns:
+            preds.append(F.col(col).isNull() | F.coalesce(cmp(F.col("start_year"), F.col(col)), F.lit(False)))
+    if "runtime_max" in r.columns:
+        preds.append(F.col("runtime_max").isNull() |
+                     F.coalesce(F.col("runtime_minutes") <= F.col("runtime_max"), F.lit(False)))
+    if "min_rating" in r.columns:
+        preds.append(F.col("min_rating").isNull() |
+                     F.coalesce(F.col("rating") >= F.col("min_rating"), F.lit(False)))
+    if "include_genres" in r.columns:
+        inc = F.filter(F.coalesce(F.col("include_genres"), F.array().cast("array<string>")),
+                       lambda x: x.isNotNull() & (F.trim(x) != ""))
+        preds.append((F.size(inc) == 0) | F.coalesce(F.arrays_overlap(F.col("genres"), inc), F.lit(False)))
+    if "exclude_genres" in r.columns:
+        exc = F.filter(F.coalesce(F.col("exclude_genres"), F.array().cast("array<string>")),
+                       lambda x: x.isNotNull() & (F.trim(x) != ""))
+        preds.append((F.size(exc) == 0) | ~F.coalesce(F.arrays_overlap(F.col("genres"), exc), F.lit(False)))
+    ok = preds[0]
+    for p_ in preds[1:]:
+        ok = ok & p_
+    sim = cosine_cols("embedding", "qvec")
+    scored = j.filter(ok).withColumn("similarity", sim).filter(F.col("similarity").isNotNull())
+    score = hybrid_score(F.col("similarity"), weights) if mode == "hybrid" else F.col("similarity")
+    return scored.select("request_id", "id", "similarity", score.alias("score"))
+
 _KNN_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("id", T.LongType()),
@@ -241,11 +340,17 @@ def _score_block(pdf: pd.DataFrame, req: dict, k: int, mode: str, weights,
 def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
              mode: str = "similarity", weights=HYBRID_WEIGHTS,
              title_types: Sequence[str] | None = None,
-             max_broadcast_requests: int = 20_000, req_block: int = 512) -> DataFrame:
+             max_broadcast_requests: int = 20_000, req_block: int = 512,
+             cast: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
     """V4: the per-request search for a whole table of requests.
 
     ``requests``: request_id, qvec and optionally the filter columns in
-    ``REQUEST_FILTERS``. ``mode`` = "similarity" (V2 order) or "hybrid" (V3).
+    ``REQUEST_FILTERS`` and ``actors``. ``mode`` = "similarity" (V2 order,
+    fuzzy all-of actor filter F5) or "hybrid" (V3, exact any-of F4).
+    Requests with an actor filter take a candidate path: their eligible
+    (request, movie) pairs come from equi-joins (tokens matched to people by
+    an Aho-Corasick pass, people to cast) and are scored directly; the rest
+    take the block-scoring path below.
 
     Plan: the request side is size-checked and broadcast in blocks of at most
     ``max_broadcast_requests`` rows; the catalogue -- the large side -- is
@@ -263,6 +368,14 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
     cat = cat.select("id", "embedding", "start_year", "runtime_minutes", "rating",
                      "votes", "genres")
     req_cols = ["request_id", "qvec"] + [c for c in REQUEST_FILTERS if c in requests.columns]
+    acted = None
+    if "actors" in requests.columns:
+        if cast is None or people is None:
+            raise ValueError("requests with actors need the cast and people tables")
+        tagged = requests.select(*req_cols, "actors").withColumn("_tokens", _actor_tokens(mode))
+        req_act = tagged.filter(F.size("_tokens") > 0)
+        acted = _score_pairs(_actor_pairs(req_act, cast, people, mode), req_act, cat, mode, weights)
+        requests = tagged.filter(F.size("_tokens") == 0)
     req = requests.select(*req_cols)
     # Size check: only a request side proven small is shipped to executors.
     n_probe = req.limit(max_broadcast_requests + 1).count()
@@ -279,6 +392,8 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
     else:
         cand = _blocked_candidates(req, cat, k, mode, weights, req_block,
                                    max_broadcast_requests)
+    if acted is not None:
+        cand = cand.unionByName(acted)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
     return (cand.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k))

@@ -12,6 +12,7 @@ from marquee.operators.search import hybrid_search, knn_join, search
 from marquee.plans import standins as sv
 from marquee.plans.registry import register
 from marquee.plans.standins import with_views
+from marquee.sources.tables import table
 
 
 def probe_vector(catalog: DataFrame) -> list[float]:
@@ -282,3 +283,63 @@ def v5_approx_knn(spark, sf):
     res = approx_knn_join(sv.requests(spark, sf).select("request_id", "qvec"), cat, k=10,
                           n_cells=16, nprobe=12)
     return res.select("request_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+# ---- V4 with per-request actor filters ----------------------------------------------
+
+def actor_requests(spark, sf):
+    """The request table with an actor filter on some rows: two fuzzy tokens,
+    a token matching every person, and a name that strips to nothing."""
+    lab = F.col("label")
+    acts = (F.when(lab.isin(3, 8), F.array(F.lit("Supplier#000000003"), F.lit("0000000 7")))
+            .when(lab == 1, F.array(F.lit("Supplier")))
+            .when(lab == 5, F.array(F.lit("Киану"))))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("request_id"), acts.alias("actors"))
+    return sv.requests(spark, sf).join(e, "request_id")
+
+
+_AREQ_SQL = [
+    """areq AS (
+  SELECT r.*, CASE WHEN e.label IN (3, 8) THEN ['Supplier#000000003', '0000000 7']
+                   WHEN e.label = 1 THEN ['Supplier'] WHEN e.label = 5 THEN ['Киану'] END AS actors
+  FROM requests r JOIN embeddings e ON e.vec_id = r.request_id)""",
+    """atok AS (
+  SELECT *, list_distinct(list_filter(list_transform(coalesce(actors, []),
+              lambda a: regexp_replace(lower(a), '[^a-z0-9]', '', 'g')), lambda t: t <> '')) AS tokens
+  FROM areq)""",
+    """rt AS (SELECT DISTINCT request_id, unnest(tokens) AS token FROM atok WHERE len(tokens) > 0)""",
+    """mt AS (
+  SELECT DISTINCT c.movie_id, t.token
+  FROM cast_ c JOIN person p ON p.id = c.person_id
+  JOIN (SELECT DISTINCT token FROM rt) t
+    ON strpos(regexp_replace(lower(p.primary_name), '[^a-z0-9]', '', 'g'), t.token) > 0
+  WHERE c.category IN ('actor', 'actress'))""",
+    """elig AS (
+  SELECT rt.request_id, mt.movie_id AS id FROM rt JOIN mt USING (token)
+  JOIN (SELECT request_id, len(tokens) AS need FROM atok) n USING (request_id)
+  GROUP BY rt.request_id, mt.movie_id, n.need HAVING count(*) = n.need)""",
+    """cand AS (
+  SELECT r.request_id, c.id, c.tconst,
+         list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.qvec AS DOUBLE[])) AS similarity
+  FROM atok r JOIN catalog c ON c.embedding IS NOT NULL
+   AND (len(r.tokens) = 0 OR EXISTS (SELECT 1 FROM elig WHERE elig.request_id = r.request_id AND elig.id = c.id))
+   AND (r.from_year IS NULL OR c.start_year >= r.from_year)
+   AND (r.to_year IS NULL OR c.start_year <= r.to_year)
+   AND (r.runtime_max IS NULL OR c.runtime_minutes <= r.runtime_max)
+   AND (r.min_rating IS NULL OR c.rating >= r.min_rating)
+   AND (r.include_genres IS NULL OR len(r.include_genres) = 0
+        OR coalesce(list_has_any(c.genres, r.include_genres), false))
+   AND (r.exclude_genres IS NULL OR NOT coalesce(list_has_any(c.genres, r.exclude_genres), false)))"""]
+
+
+@register("v4_knn_actor_filter", with_views("""
+SELECT request_id, rank, tconst, round(similarity, 6) AS similarity FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, id ASC) AS INTEGER) AS rank
+  FROM cand WHERE similarity IS NOT NULL) WHERE rank <= 5""", "catalog", "requests", "cast_", "person",
+    ctes=_AREQ_SQL))
+def v4_knn_actor_filter(spark, sf):
+    cat = sv.stored_catalog(spark, sf)
+    res = knn_join(actor_requests(spark, sf), cat, k=5, mode="similarity",
+                   cast=sv.stored_cast(spark, sf), people=sv.stored_person(spark, sf))
+    return (res.join(cat.select("id", "tconst"), "id")
+            .select("request_id", "rank", "tconst", _r6("similarity").alias("similarity")))

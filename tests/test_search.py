@@ -108,3 +108,40 @@ def test_s5_statuses(spark):
     assert out[1].message == "Unsupported resource" and out[2].message == "Missing IMDb identifier"
     assert out[3].message == "Movie tt9999999 not found." and out[4].status == "found"
     assert out[4].similarity == 1.0 and len(out[4].actor_names or []) <= 5
+
+
+def test_knn_join_actor_filter_equals_single_searches(spark):
+    from marquee.plans.search_queries import actor_requests
+    cat = sv.stored_catalog(spark, SF001)
+    cast, people = sv.stored_cast(spark, SF001), sv.stored_person(spark, SF001)
+    req = actor_requests(spark, SF001)
+    got = knn_join(req, cat, k=4, cast=cast, people=people).collect()
+    types = [r[0].lower() for r in cat.select("title_type").distinct().collect()]
+    rows = [r for r in req.collect() if r.actors][:4]
+    assert rows
+    for r in rows:
+        single = search(cat, cast, people, list(r.qvec), limit=4, from_year=r.from_year,
+                        to_year=r.to_year, runtime_max=r.runtime_max, min_rating=r.min_rating,
+                        include_genres=r.include_genres, exclude_genres=r.exclude_genres,
+                        actors=list(r.actors), title_types=types).collect()
+        want = [x.id for x in sorted(single, key=lambda x: x["rank"])]
+        mine = [g.id for g in sorted((g for g in got if g.request_id == r.request_id), key=lambda g: g["rank"])]
+        assert mine == want
+
+
+def test_knn_join_hybrid_actor_filter_equals_single_searches(spark):
+    from marquee.plans.search_queries import actor_requests
+    cat = sv.stored_catalog(spark, SF001)
+    cast, people = sv.stored_cast(spark, SF001), sv.stored_person(spark, SF001)
+    req = actor_requests(spark, SF001)
+    got = knn_join(req, cat, k=3, mode="hybrid", cast=cast, people=people).collect()
+    rows = [r for r in req.collect() if r.actors and any("#" in a for a in r.actors)][:3]
+    assert rows
+    for r in rows:
+        single = hybrid_search(cat, cast, people, list(r.qvec), limit=3, from_year=r.from_year,
+                               to_year=r.to_year, runtime_max=r.runtime_max, min_rating=r.min_rating,
+                               include_genres=r.include_genres, exclude_genres=r.exclude_genres,
+                               actor_names=list(r.actors)).collect()
+        want = [x.id for x in sorted(single, key=lambda x: x["rank"])]
+        mine = [g.id for g in sorted((g for g in got if g.request_id == r.request_id), key=lambda g: g["rank"])]
+        assert mine == want
