@@ -53,8 +53,21 @@ def _norm(catalog: DataFrame):
     return "embedding_norm" if "embedding_norm" in catalog.columns else None
 
 
+# Up to this many winning ids are brought to the driver and pushed into the
+# scans as an IN list; a larger k keeps the winners distributed.
+COLLECT_TOP_K_MAX = 10_000
+
+
 def _top_k_then_cast(scored: DataFrame, score_col: str, k: int, cast: DataFrame,
                      people: DataFrame, cast_k: int) -> DataFrame:
+    if k > COLLECT_TOP_K_MAX:
+        top = scored.orderBy(F.desc(score_col), F.asc("id")).limit(k)
+        ids = top.select(F.col("id").alias("movie_id"))
+        tc = top_cast(cast.join(ids, "movie_id", "left_semi"), people, cast_k)
+        # the k rows of a limit already sit in one partition; numbering them adds no gather
+        rank = F.row_number().over(Window.orderBy(F.desc(score_col), F.asc("id")))
+        return (top.withColumn("rank", rank).join(tc, F.col("id") == tc["movie_id"], "left")
+                .drop("movie_id"))
     top_ids = [r[0] for r in (scored.orderBy(F.desc(score_col), F.asc("id"))
                               .limit(k).select("id").collect())]
     top = scored.filter(F.col("id").isin(top_ids))

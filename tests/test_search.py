@@ -145,3 +145,14 @@ def test_knn_join_hybrid_actor_filter_equals_single_searches(spark):
         want = [x.id for x in sorted(single, key=lambda x: x["rank"])]
         mine = [g.id for g in sorted((g for g in got if g.request_id == r.request_id), key=lambda g: g["rank"])]
         assert mine == want
+
+
+def test_large_k_path_equals_collected_path(spark, monkeypatch):
+    import marquee.operators.search as S
+    cat = sv.stored_catalog(spark, SF001)
+    cast, people = sv.stored_cast(spark, SF001), sv.stored_person(spark, SF001)
+    q = probe_vector(cat)
+    a = [(r["rank"], r.id, tuple(r.actor_ids or [])) for r in hybrid_search(cat, cast, people, q, limit=20).collect()]
+    monkeypatch.setattr(S, "COLLECT_TOP_K_MAX", 5)
+    b = [(r["rank"], r.id, tuple(r.actor_ids or [])) for r in hybrid_search(cat, cast, people, q, limit=20).collect()]
+    assert sorted(a) == sorted(b) and len(a) == 20
