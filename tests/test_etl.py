@@ -123,3 +123,17 @@ def test_s3_versioned_write(spark, tmp_dir):
     assert [r.tconst for r in spark.read.parquet(p1).collect()] == ["tt1"]  # old version intact
     with _pytest.raises(Exception):
         write_version(nxt, tmp_dir + "/movie", 2)  # a version is never rewritten in place
+
+
+def test_assign_ids_dense_in_key_order_across_partitions(spark):
+    import random
+    from marquee.operators.catalog import assign_ids
+    rnd = random.Random(7)
+    keys = sorted({f"nm{rnd.randrange(10**6):07d}" for _ in range(3000)})
+    df = spark.createDataFrame([(k,) for k in keys], "nconst string").repartition(13)
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = {r.nconst: r.id for r in assign_ids(df.union(df), "nconst", start=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {k: 101 + i for i, k in enumerate(keys)}
