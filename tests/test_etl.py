@@ -137,3 +137,18 @@ def test_assign_ids_dense_in_key_order_across_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == {k: 101 + i for i, k in enumerate(keys)}
+
+
+def test_v6_backfill_is_idempotent(spark):
+    from marquee.operators.enrich import backfill_embeddings
+    from marquee.plans import standins as sv
+    from tests.conftest import SF001
+    cat = sv.catalog(spark, SF001)
+    cast, people = sv.cast(spark, SF001), sv.person(spark, SF001)
+    once = backfill_embeddings(cat, cast, people).drop("embedding_updated_at").cache()
+    assert once.filter(F.col("embedding_model").isNull()).count() == 0
+    twice = backfill_embeddings(once, cast, people).drop("embedding_updated_at")
+    a = sorted((r.id, tuple(r.embedding or ()), r.embedding_model) for r in once.collect())
+    b = sorted((r.id, tuple(r.embedding or ()), r.embedding_model) for r in twice.collect())
+    assert a == b
+    once.unpersist()
