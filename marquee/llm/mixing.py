@@ -138,8 +138,9 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: i
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per whole copy and
-    one per cut (its words joined by a space; ``n_chars``, if there, follows)."""
-    plan = plan_mix(docs, weights, block, seed)
+    one per cut (its words joined by a space; ``n_chars``, if there, follows).
+    Texts without words have nothing to take and are not in it."""
+    plan = plan_mix(docs, weights, block, seed).where("__size > 0")
     words = F.filter(F.split(F.col("text"), "[ \\t-\\r]+"), lambda w: w != "")
     whole = F.array_repeat(F.struct(F.col("text").alias("t"), F.lit(False).alias("cut")), F.col("__passes").cast("int"))
     parts = F.transform("__cuts", lambda c: F.when(
