@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from marquee.llm import (chat_format, decontaminate, fingerprints, mixing,
-                         near_dedup, secret_scan)
+                         near_dedup, quality, secret_scan, token_counts,
+                         token_files, toxicity)
 from marquee.llm.common import scratch_table, table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -107,3 +111,33 @@ def op10(spark, sf_dir):
     out = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                       F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Toxicity scores of all documents."""
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+                      (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    """Token counts of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op8_token_files")
+def op8(spark, sf_dir):
+    """All documents written as token files, read back."""
+    out = scratch_table(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), out)
+    return token_files.read_token_files(spark, out)
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    """Quality of all documents: sources are hosts, their languages paths."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
