@@ -27,7 +27,28 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + least(3, len(w)) - 1) AS s
+  FROM doc, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_in AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM both_in JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y
+  WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT link.y, reach.r FROM reach JOIN link ON link.x = reach.doc_id),
+least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, component_id, doc.doc_id = component_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) JOIN least_of USING (doc_id)
+""")
 def op1(spark, sf_dir):
     """Near-duplicate groups of all documents: 3-word shingles, Jaccard 0.85."""
     out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
@@ -40,7 +61,22 @@ def op2(spark, sf_dir):
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-@query("op3_chat_formatting")
+@query("op3_chat_formatting", """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+chat AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+         -- a turn is written with 13 characters of control strings and one more per escaped character
+         sum(13 + length(role) + length(text) + length(role) - length(translate(role, '<[|', ''))
+             + length(text) - length(translate(text, '<[', ''))) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM chat
+""")
 def op3(spark, sf_dir):
     """All conversations and conversation -7, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -59,8 +95,8 @@ def op3(spark, sf_dir):
 
 @query("op5_benchmark_decontamination", """
 WITH item AS (
-  SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS p
