@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Parts that a worker's cache holds before it starts anew.
-CACHE = 1_500_000
+CACHE = 600_000
 
 _SPLIT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
