@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.cast import first_per_key
 from marquee.operators.filters import MOVIE_TITLE_TYPES
+from marquee.session import reliable_checkpoint
 
 # Boolean spellings of the dumps and the kept cast categories.
 TRUE_SPELLINGS = ("1", "t", "true", "TRUE")
@@ -79,53 +80,64 @@ def top_titles(titles: DataFrame, max_titles: int | None = DEFAULT_MAX_TITLES,
                title_types=MOVIE_TITLE_TYPES) -> DataFrame:
     """Keep movie / tvMovie titles, order by rating (NULL -> -1) DESC,
     votes (NULL -> 0) DESC, tconst; keep the first ``max_titles`` (<= 0 or
-    None keeps all). ``titles`` carries rating and votes (P1 output).
+    None keeps all) and number them in ``rank``. ``titles`` carries rating and
+    votes (P1 output).
 
     A bounded N plans as TakeOrderedAndProject (a per-partition top-N then
-    one merge of N x partitions rows) and gets a ``rank`` column; "all" is a
-    distributed range sort with no rank column -- no unpartitioned window
-    ever gathers the catalogue in one task.
+    one merge of N x partitions rows); the numbering is by range partitions,
+    so no unpartitioned window gathers the catalogue in one task.
     """
-    kept = titles.filter(F.lower(F.col("title_type")).isin([t.lower() for t in title_types]))
-    if not max_titles or max_titles <= 0:
-        return kept.orderBy(*ranking_order())
-    top = kept.orderBy(*ranking_order()).limit(int(max_titles))
-    # N rows in one partition at this point: numbering them is bounded work.
-    w = Window.orderBy(*ranking_order())
-    return top.withColumn("rank", F.row_number().over(w))
+    kept = kept_titles(titles, title_types)
+    if max_titles and max_titles > 0:
+        kept = kept.orderBy(*ranking_order()).limit(int(max_titles))
+    return number_rows(kept, ranking_order(), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-def restrict_to(df: DataFrame, keys: DataFrame, key: str, bounded: bool = False) -> DataFrame:
-    """Semi join with the selected keys; broadcast only when the caller
-    knows the key set is bounded (e.g. a top-N with N <= 10,000)."""
-    k = keys.select(key).distinct()
-    return df.join(F.broadcast(k) if bounded else k, key, "left_semi")
+def kept_titles(titles: DataFrame, title_types=MOVIE_TITLE_TYPES) -> DataFrame:
+    """The titles of the kept types, all of them."""
+    return titles.filter(F.lower(F.col("title_type")).isin([t.lower() for t in title_types]))
 
 
-def assign_ids(keys: DataFrame, key: str, id_col: str = "id",
-               start: int | F.Column = 0) -> DataFrame:
-    """Dense ids ``start + 1 ..`` in ``key`` order, without one-task windows.
+def number_rows(df: DataFrame, order, out: str, start: int | F.Column = 0) -> DataFrame:
+    """``df`` with ``out`` = ``start`` + 1, 2, .. in ``order``.
 
-    Keys are range-partitioned and numbered inside each partition; a tiny
-    per-partition count table (one row per partition) gives the offsets.
+    Rows are range-partitioned, numbered inside each partition and written to
+    the shared checkpoint folder once; the offsets (one row per partition) and
+    the numbered rows both come from that one copy, so they agree whatever the
+    planner reuses or recomputes.
     """
-    ranged = (keys.select(key).distinct().repartitionByRange(key)
-              .sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("_pid").orderBy(key)))
+    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    local = reliable_checkpoint(ranged.withColumn("_rn", F.row_number().over(
+        Window.partitionBy("_pid").orderBy(*order))))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     start_col = start if isinstance(start, F.Column) else F.lit(int(start))
     return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .select(key, (start_col + F.col("_off") + F.col("_rn")).cast("bigint").alias(id_col)))
+            .withColumn(out, (start_col + F.col("_off") + F.col("_rn")).cast("bigint"))
+            .drop("_pid", "_off", "_rn"))
+
+
+def restrict_to(df: DataFrame, keys: DataFrame, key: str, bounded: bool = False) -> DataFrame:
+    """Semi join with the selected keys; broadcast only when the caller
+    knows the key set is bounded (e.g. a top-N with N <= 10,000)."""
+    k = keys.select(key).distinct()
+    return df.join(F.broadcast(k) if bounded else k, key, "left_semi")
+
+
+def assign_ids(keys: DataFrame, key: str, id_col: str = "id",
+               start: int | F.Column = 0) -> DataFrame:
+    """Dense ids ``start + 1 ..`` of the distinct keys, in ``key`` order."""
+    return number_rows(keys.select(key).distinct(), [F.col(key)], id_col, start).select(key, id_col)
 
 
 def build_people(principals: DataFrame, names: DataFrame,
-                 existing: DataFrame | None = None) -> DataFrame:
+                 existing: DataFrame | None = None, last_id: int | None = None) -> DataFrame:
     """J4 (+ A1): DISTINCT nconst of the principals with name =
-    COALESCE(name, nconst). Ids stay stable: an existing person keeps its id,
-    new nconsts get max(existing id) + their rank in nconst order."""
+    COALESCE(name, nconst). People are only added or renamed: an existing
+    person stays, with its id, whether or not the principals still name it;
+    new nconsts get ``last_id`` + their rank in nconst order. ``last_id`` is
+    the largest id ever given (default: the largest there is)."""
     n = names.select(F.col("nconst").alias("_nk"), "primary_name")
     people = (principals.select("nconst").filter(F.col("nconst").isNotNull()).distinct()
               .join(n, F.col("nconst") == F.col("_nk"), "left")
@@ -133,10 +145,11 @@ def build_people(principals: DataFrame, names: DataFrame,
               .dropDuplicates(["nconst"]))
     if existing is None:
         return assign_ids(people, "nconst").join(people, "nconst").select("id", "nconst", "primary_name")
-    old = existing.select("id", F.col("nconst").alias("_ok"))
-    known = people.join(old, people["nconst"] == old["_ok"], "inner").drop("_ok")
+    old = existing.select("id", F.col("nconst").alias("_ok"), F.col("primary_name").alias("_on"))
+    known = old.join(people, people["nconst"] == old["_ok"], "left").select(
+        "id", F.col("_ok").alias("nconst"), F.coalesce("primary_name", "_on").alias("primary_name"))
     fresh = people.join(old, people["nconst"] == old["_ok"], "left_anti")
-    max_id = existing.agg(F.max("id")).first()[0] or 0  # one scalar
+    max_id = last_id if last_id is not None else existing.agg(F.max("id")).first()[0] or 0  # one scalar
     new_rows = assign_ids(fresh, "nconst", start=max_id).join(fresh, "nconst")
     return known.select("id", "nconst", "primary_name").unionByName(
         new_rows.select("id", "nconst", "primary_name"))

@@ -156,7 +156,11 @@ def missing_plot(df: DataFrame, after_id: int | None = None,
     return f.orderBy("id").limit(limit) if limit else f
 
 
-def missing_embedding(df: DataFrame, limit: int | None = 500) -> DataFrame:
-    """rows whose embedding model is NULL, by id."""
+def missing_embedding(df: DataFrame, limit: int | None = None,
+                      after_id: int | None = None) -> DataFrame:
+    """rows whose embedding model is NULL, by id; a page of ``limit`` rows
+    after ``after_id``, or the whole backlog unordered."""
     f = df.filter(F.col("embedding_model").isNull())
+    if after_id is not None:
+        f = f.filter(F.col("id") > F.lit(after_id))
     return f.orderBy("id").limit(limit) if limit else f

@@ -19,8 +19,7 @@ from marquee.sources.dumps import read_dump, write_dump
 from marquee.sources.snapshot import replace_children, sync_snapshot
 from marquee.sources.tables import table
 
-TOP_N = 300
-SYNC_N = 1500
+TOP_N = 300  # W1's report; every other query works on all kept titles
 
 
 def _pad(c, prefix):
@@ -52,7 +51,7 @@ def stg_ratings(spark, sf):
     g = li.groupBy("l_partkey").agg(
         F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("s"),
         F.count(F.lit(1)).alias("n"))
-    return g.filter(F.col("n") >= 28).select(
+    return g.select(
         _pad("l_partkey", "tt").alias("tconst"),
         (F.expr("(s * 10) div n") / 10.0).cast("string").alias("average_rating"),
         F.col("n").cast("string").alias("num_votes"))
@@ -99,7 +98,7 @@ STG_SQL = [
   SELECT 'tt' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS tconst,
          CAST((sum(CAST(round(l_discount * 100) AS BIGINT)) * 10 // count(*)) / 10.0 AS VARCHAR) AS average_rating,
          CAST(count(*) AS VARCHAR) AS num_votes
-  FROM lineitem GROUP BY l_partkey HAVING count(*) >= 28)""",
+  FROM lineitem GROUP BY l_partkey)""",
     """stg_principals AS (
   SELECT 'tt' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS tconst,
          CASE WHEN l_linenumber = 7 THEN 'x' WHEN l_linenumber <> 6 THEN CAST(l_linenumber AS VARCHAR) END AS ordering,
@@ -136,7 +135,7 @@ STG_SQL = [
     """dedup AS (
   SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY tconst, nconst, category
       ORDER BY ordering ASC NULLS LAST, job ASC NULLS FIRST, characters ASC NULLS FIRST) = 1)""",
-    f"""selected AS (SELECT tconst, rank FROM ranked WHERE rank <= {TOP_N})""",
+    """selected AS (SELECT tconst FROM ranked)""",
     """restricted AS (SELECT d.* FROM dedup d WHERE d.tconst IN (SELECT tconst FROM selected))""",
     """people AS (
   SELECT CAST(row_number() OVER (ORDER BY nconst) AS BIGINT) AS id, nconst, primary_name FROM (
@@ -160,13 +159,13 @@ def typed_titles(spark, sf):
     return cat_ops.type_titles(stg_basics(spark, sf), stg_ratings(spark, sf))
 
 
-def selected_titles(spark, sf, n=TOP_N):
-    return cat_ops.top_titles(typed_titles(spark, sf), n)
+def selected_titles(spark, sf):
+    return cat_ops.kept_titles(typed_titles(spark, sf))
 
 
 def restricted_principals(spark, sf):
     dedup = cat_ops.dedup_principals(cat_ops.clean_principals(stg_principals(spark, sf)))
-    return cat_ops.restrict_to(dedup, selected_titles(spark, sf), "tconst", bounded=True)
+    return cat_ops.restrict_to(dedup, selected_titles(spark, sf), "tconst")
 
 
 def people_dim(spark, sf):
@@ -203,7 +202,7 @@ def s1_dump_roundtrip(spark, sf):
 @register("w1_top_titles", etl_sql(
     f"SELECT rank, tconst, rating, votes FROM ranked WHERE rank <= {TOP_N}", "ranked"))
 def w1_top_titles(spark, sf):
-    return selected_titles(spark, sf).select("rank", "tconst", "rating", "votes")
+    return cat_ops.top_titles(typed_titles(spark, sf), TOP_N).select("rank", "tconst", "rating", "votes")
 
 
 @register("p2_clean_principals", etl_sql(
@@ -253,8 +252,11 @@ def s4_replace_children(spark, sf):
     return replace_children(existing, parents, fresh).distinct()
 
 
-_SYNC_CTES = (f"""tgt AS (SELECT * FROM catalog WHERE start_year <= 2010)""",
-              f"""src AS (SELECT * EXCLUDE (rank) FROM ranked WHERE rank <= {SYNC_N})""",
+# Titles without a year come under another key in the new dump: a delete and
+# an insert each.
+_SYNC_CTES = ("""tgt AS (SELECT * FROM catalog)""",
+              """src AS (SELECT * EXCLUDE (rank) REPLACE (
+                  CASE WHEN start_year IS NULL THEN 'x' || tconst ELSE tconst END AS tconst) FROM ranked)""",
               """j AS (
   SELECT coalesce(s.tconst, t.tconst) AS tconst, t.id AS old_id,
          CASE WHEN t.tconst IS NULL THEN 'insert' WHEN s.tconst IS NULL THEN 'delete'
@@ -275,8 +277,9 @@ _SYNC_CTES = (f"""tgt AS (SELECT * FROM catalog WHERE start_year <= 2010)""",
 
 def _sync(spark, sf):
     # the current catalogue version is the stored table (as the ETL wrote it)
-    target = sv.stored_catalog(spark, sf).filter(F.col("start_year") <= 2010)
-    source = cat_ops.top_titles(typed_titles(spark, sf), SYNC_N).drop("rank")
+    target = sv.stored_catalog(spark, sf)
+    source = selected_titles(spark, sf).withColumn("tconst", F.when(
+        F.col("start_year").isNull(), F.concat(F.lit("x"), "tconst")).otherwise(F.col("tconst")))
     return sync_snapshot(target, source, "tconst")
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.catalog import assign_ids
-from marquee.session import reliable_checkpoint
 
 # Change kinds of a sync.
 INSERT, UPDATE, UNCHANGED, DELETE = "insert", "update", "unchanged", "delete"
@@ -21,12 +20,14 @@ ENRICHMENT_COLS = ("plot", "embedding", "embedding_model", "embedding_updated_at
 
 def sync_snapshot(target: DataFrame, source: DataFrame, key: str = "tconst",
                   source_cols: Sequence[str] | None = None, id_col: str | None = "id",
-                  invalidate_on_change: bool = False) -> DataFrame:
+                  invalidate_on_change: bool = False, last_id: int | None = None) -> DataFrame:
     """S3: upsert every source column on ``key`` and mark target rows absent
     from the source as deleted (J3 is the anti side of the same join).
 
     Columns the source does not carry (plot, embedding, ...) and surrogate ids
-    survive an update. New keys get ids max(target id) + rank in key order.
+    survive an update. New keys get ids ``last_id`` + rank in key order;
+    ``last_id`` is the largest id ever given (default: the target's largest,
+    which is enough only while no row with the largest id was deleted).
     ``invalidate_on_change`` clears the embedding columns of updated rows
     (the reference leaves them stale). Returns the target columns plus
     ``change``; ``current_rows`` drops the deletes.
@@ -62,12 +63,11 @@ def sync_snapshot(target: DataFrame, source: DataFrame, key: str = "tconst",
     rows = j.select(*out, "change", *([F.col(f"t_{id_col}").alias(id_col)] if id_col in t_cols else []))
     if id_col is None or id_col not in t_cols:
         return rows
-    max_id = target.agg(F.max(id_col)).first()[0] or 0  # one scalar
-    # The change set feeds both the output and the id numbering of inserts;
-    # a reliable checkpoint (shared checkpoint folder) keeps the full outer
-    # join from being planned twice and cuts the lineage of the new version.
-    rows = reliable_checkpoint(rows)
-    new_ids = assign_ids(rows.filter(F.col("change") == INSERT), key, "_new_id", start=max_id)
+    max_id = last_id if last_id is not None else target.agg(F.max(id_col)).first()[0] or 0  # one scalar
+    # Inserts are numbered from the two key columns alone, so the wide change
+    # set (embeddings) is neither planned twice nor written to number it.
+    fresh = source.select(key).join(target.select(key), key, "left_anti")
+    new_ids = assign_ids(fresh, key, "_new_id", start=max_id)
     return (rows.join(new_ids, key, "left")
             .withColumn(id_col, F.coalesce(F.col(id_col), F.col("_new_id"))).drop("_new_id"))
 
@@ -86,9 +86,12 @@ def write_version(df: DataFrame, base_path: str, version: int | str) -> str:
 
 
 def replace_children(existing: DataFrame, parent_keys: DataFrame, fresh: DataFrame,
-                     parent_col: str = "movie_id") -> DataFrame:
+                     parent_col: str = "movie_id", alive: DataFrame | None = None) -> DataFrame:
     """Drop every child row of the given parents, then add the fresh
-    distinct set (anti join + union; nothing is rewritten in place)."""
+    distinct set (anti join + union; nothing is rewritten in place). With
+    ``alive`` (the parents that there are) children of others go as well."""
     keys = parent_keys.select(parent_col).distinct()
     kept = existing.join(keys, parent_col, "left_anti")
+    if alive is not None:
+        kept = kept.join(alive.select(parent_col).distinct(), parent_col, "left_semi")
     return kept.unionByName(fresh.select(*existing.columns).distinct())
