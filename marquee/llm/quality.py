@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.common import stored
 from marquee.llm.toxicity import FIT_ROWS, fit_rows, held_out
 
 STATS = ("size", "variety", "line_variety", "marks", "bars", "digits", "word_length", "short")
@@ -138,5 +139,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
             .withColumn("__evidence", evidence(model)).select("doc_id", "__host", "__path", "__evidence"))
     rows = (rows.join(known, F.col("doc_id") == F.col("k_doc"), "left")
             .withColumn("__belief", F.coalesce("k_label", "__evidence")).drop("k_doc", "k_label"))
+    # Narrow rows, read four times below: the texts are read once for them.
+    rows = stored(rows, "evidence")
     return combine(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__evidence").alias("evidence"),
                                 F.col("__site").alias("site"), F.col("__posterior").alias("score"))
