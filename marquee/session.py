@@ -69,10 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
-
 def reliable_checkpoint(df):
     """``df.checkpoint()`` into the shared checkpoint folder, making sure the
     folder is set on this session first (never ``localCheckpoint``: its
