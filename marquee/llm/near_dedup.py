@@ -9,15 +9,17 @@
 3. Prefix: a class that shares fewer than ``t`` values with anyone is out.
    The others order their shared values rarest first; two classes agreeing on
    ``t`` values must meet under one of their first ``m - t + 1``.
-4. Skip merging: the remaining lists are not merged pair by pair. Each list
-   is linked to its smallest member (a star, linear in the list), and the
-   connected components of the stars are the clusters: every pair with enough
-   collisions lies inside one cluster.
-5. Inside a cluster similarities are computed on the full sets, exactly. A
-   cluster is cut into blocks of bounded size and each pair of blocks is one
-   task group: an incidence product gives all intersection sizes, and the
-   group returns a spanning forest of its links, never its pairs. Components
-   of the forests are the near-duplicate groups; no link is lost.
+4. Skip merging: a class's ``t - 1`` longest lists are skipped, and the
+   remaining ones are not merged pair by pair. Each list is linked to its
+   smallest member (a star, linear in the list), and the connected components
+   of the stars are the clusters: every pair with enough collisions lies
+   inside one cluster.
+5. A cluster is cut into blocks of bounded size and each pair of blocks is one
+   task group. It counts the collisions of its classes over all ``k``
+   coordinates, those of the skipped lists included, retains the pairs with
+   ``t`` or more, and confirms these on the full sets by an incidence product.
+   The group returns a spanning forest of the confirmed links, never its
+   pairs. Components of the forests are the near-duplicate groups.
 """
 
 from __future__ import annotations
@@ -65,12 +67,25 @@ def shingle_sets(texts: list[str], n: int):
             yield np.unique(gram_hashes(own, min(n, len(own)))) if len(own) else own
 
 
-def _profile(n: int, k: int):
+def _signer(k: int):
+    """The ``k`` coordinate-value keys of a non-empty shingle set."""
     rng = np.random.RandomState(20_011)
     mul = rng.randint(0, 2**63 - 1, k, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.randint(0, 2**63 - 1, k, dtype=np.int64).astype(np.uint64)
     salt = mix(np.arange(1, k + 1, dtype=np.uint64))
 
+    def sign(s: np.ndarray) -> np.ndarray:
+        low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(s), 8192):
+            part = s[i:i + 8192]
+            np.minimum(low, (mul[:, None] * part + add[:, None]).min(axis=1), out=low)
+        return mix(low ^ salt).view(np.int64)
+    return sign
+
+
+def _profile(n: int, k: int):
+    sign = _signer(k)
+
     def run(batches):
         for b in batches:
             sizes, digests, keys = [], [], []
@@ -81,11 +96,7 @@ def _profile(n: int, k: int):
                     keys.append(None)
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-                for i in range(0, len(s), 8192):
-                    part = s[i:i + 8192]
-                    np.minimum(low, (mul[:, None] * part + add[:, None]).min(axis=1), out=low)
-                keys.append(mix(low ^ salt).view(np.int64))
+                keys.append(sign(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -93,21 +104,24 @@ def _profile(n: int, k: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, k: int):
+    sign = _signer(k)
+
     def run(batches):
         for b in batches:
             rows = b.to_pydict()
-            keep, sets = [], []
+            keep, sets, keys = [], [], []
             for i, s in enumerate(shingle_sets([t or "" for t in rows["text"]], n)):
                 if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == rows["cls"][i]:
                     keep.append(i)
                     sets.append(s.view(np.int64))
+                    keys.append(sign(s))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([rows["cls"][i] for i in keep], pa.binary()),
                  pa.array([rows["cluster"][i] for i in keep], pa.int64()),
                  pa.array([rows["blocks"][i] for i in keep], pa.int64()),
-                 pa.array(sets, pa.list_(pa.int64()))],
-                names=["cls", "cluster", "blocks", "shingles"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                names=["cls", "cluster", "blocks", "keys", "shingles"])
     return run
 
 
@@ -123,17 +137,35 @@ def _roots(adj: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _link(percent: int):
+def collisions(keys: np.ndarray) -> np.ndarray:
+    """On how many coordinates each two rows of ``keys`` agree."""
+    out = np.zeros((len(keys), len(keys)), np.uint16)
+    for column in keys.T:
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def _lists(column):
+    """Values and offsets of a list column of one group."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _link(percent: int, k: int, least: int):
     def run(key, t):
         i, j = key[1].as_py(), key[2].as_py()
         cls = t.column("cls").to_pylist()
         mine = t.column("block").to_numpy()
-        lists = t.column("shingles").combine_chunks()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        ends = lists.offsets.to_numpy()
+        adj = collisions(_lists(t.column("keys"))[0].reshape(len(cls), k)) >= least
+        if i != j:
+            adj &= (mine[:, None] != mine[None, :]) | np.eye(len(cls), dtype=bool)
+        flat, ends = _lists(t.column("shingles"))
         size = np.diff(ends)
         owner = np.repeat(np.arange(len(cls)), size)
-        flat = flat[ends[0]:ends[-1]]
+        # Only classes with a retained pair are read further.
+        some = (adj.sum(axis=1) > 1)[owner]
+        flat, owner = flat[some], owner[some]
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         first = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, bool)
@@ -154,9 +186,8 @@ def _link(percent: int):
             m[owner[lo:hi], column[lo:hi] - c * COLUMNS] = 1.0
             inter += m @ m.T
         both = np.rint(inter).astype(np.int64)
-        adj = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        if i != j:
-            adj &= (mine[:, None] != mine[None, :]) | np.eye(n, dtype=bool)
+        adj &= 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        adj |= np.eye(n, dtype=bool)
         root = _roots(adj)
         moved = np.flatnonzero(root != np.arange(n))
         return pa.table({"a": pa.array([cls[x] for x in moved], pa.binary()),
@@ -216,13 +247,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     sets = (base.withColumn("text_hash", F.xxhash64("text"))
             .join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
             .select("text", "cls", "cluster", "blocks")
-            .mapInArrow(_sets(words), "cls binary, cluster long, blocks long, shingles array<long>"))
+            .mapInArrow(_sets(words, k), "cls binary, cluster long, blocks long, keys array<long>, shingles array<long>"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     grouped = (sets.withColumn("block", block)
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "cls", "shingles"))
-    links = grouped.groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a binary, b binary")
+                       "block", "cls", "keys", "shingles"))
+    links = grouped.groupBy("cluster", "i", "j").applyInArrow(_link(percent, k, t), "a binary, b binary")
     component = connected_components(links)
 
     # Back to documents.

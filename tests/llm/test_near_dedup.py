@@ -74,3 +74,11 @@ def test_empty_table(spark):
 
 def test_match_threshold_leaves_margin():
     assert match_threshold(0.85) == 40 and match_threshold(0.8) == 35
+
+
+def test_collisions_count_agreeing_coordinates():
+    import numpy as np
+
+    from marquee.llm.near_dedup import collisions
+    keys = np.array([[1, 2, 3], [1, 5, 3], [7, 8, 9]])
+    assert collisions(keys).tolist() == [[3, 2, 0], [2, 3, 0], [0, 0, 3]]
