@@ -143,102 +143,87 @@ def _actor_tokens(mode: str):
     return F.array_distinct(F.filter(keys, lambda t: t.isNotNull() & (t != "")))
 
 
-def _token_hits(people: DataFrame, tokens: list[str]) -> DataFrame:
-    """(person_id, token) for every person whose stripped lower name
-    contains a token: one Aho-Corasick pass per name inside ``mapInPandas``
-    (the token set is bounded by the size-checked request side), so no
-    non-equi join is planned."""
+#: Tokens that one automaton holds; more are dealt into blocks.
+TOKEN_BLOCK = 100_000
+
+
+def _token_hits(people: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(person_id, token) for every person whose stripped lower name contains
+    a token: one Aho-Corasick pass per name. Up to ``TOKEN_BLOCK`` tokens are
+    one broadcast automaton; more are dealt into blocks that meet blocks of
+    people in cogroup tasks, so nothing unbounded reaches the driver."""
+    import ahocorasick
+
     from marquee.operators.filters import stripped_name
     spark = people.sparkSession
-    auto_b = spark.sparkContext.broadcast(sorted(set(tokens)))
-    schema = T.StructType([T.StructField("person_id", T.LongType()),
-                           T.StructField("token", T.StringType())])
-
-    def match(it):
-        try:
-            import ahocorasick
-        except ImportError:  # plain scan fallback
-            ahocorasick = None
-        toks = auto_b.value
-        if ahocorasick is not None:
-            a = ahocorasick.Automaton()
-            for t in toks:
-                a.add_word(t, t)
+    names = (people.select(F.col("id").alias("person_id"), stripped_name("primary_name").alias("sname"))
+             .filter(F.col("sname") != ""))
+
+    def automaton(toks):
+        a = ahocorasick.Automaton()
+        for t in toks:
+            a.add_word(t, t)
+        if len(a):
             a.make_automaton()
-        for pdf in it:
-            pid, tok = [], []
-            for i, name in zip(pdf["person_id"].to_numpy(), pdf["sname"].values):
-                if not name:
-                    continue
-                found = ({t for _, t in a.iter(name)} if ahocorasick is not None
-                         else {t for t in toks if t in name})
-                for t in found:
-                    pid.append(int(i))
-                    tok.append(t)
-            yield pd.DataFrame({"person_id": pd.Series(pid, dtype="int64"),
-                                "token": pd.Series(tok, dtype="object")})
-    return (people.select(F.col("id").alias("person_id"), stripped_name("primary_name").alias("sname"))
-            .mapInPandas(match, schema))
-
-
-def _actor_pairs(req_act: DataFrame, cast: DataFrame, people: DataFrame, mode: str) -> DataFrame:
-    """(request_id, id) movies passing each request's actor filter."""
+        return a
+
+    def hits(a, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [(i, t) for i, n in zip(pdf["person_id"], pdf["sname"])
+                 for t in ({x for _, x in a.iter(n)} if len(a) else ())]
+        return pd.DataFrame(found, columns=["person_id", "token"]).astype({"person_id": "int64"})
+
+    n = tokens.count()
+    if n <= TOKEN_BLOCK:
+        toks_b = spark.sparkContext.broadcast([r[0] for r in tokens.collect()])
+
+        def match(it):
+            a = automaton(toks_b.value)
+            for pdf in it:
+                yield hits(a, pdf)
+
+        return names.mapInPandas(match, "person_id long, token string")
+    blocks = math.ceil(n / TOKEN_BLOCK)
+    cells = max(1, math.ceil(names.count() / TOKEN_BLOCK))
+    t = (tokens.withColumn("tb", F.pmod(F.xxhash64("token"), F.lit(blocks)))
+         .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))))
+    p = (names.withColumn("pb", F.pmod(F.xxhash64("person_id"), F.lit(cells)))
+         .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
+    return (t.groupBy("tb", "pb").cogroup(p.groupBy("tb", "pb"))
+            .applyInPandas(lambda tp, pp: hits(automaton(tp["token"]), pp), "person_id long, token string"))
+
+
+def _movie_tokens(req: DataFrame, cast: DataFrame, people: DataFrame, mode: str) -> DataFrame:
+    """(id, matched): the requests' filter tokens that a movie's cast matches,
+    aggregated once per movie; no (request, movie) rows arise."""
     from marquee.operators.filters import ACTOR_CATEGORIES
-    rt = req_act.select("request_id", F.explode("_tokens").alias("token")).distinct()
-    c = cast.filter(F.col("category").isin(*ACTOR_CATEGORIES)).select("movie_id", "person_id")
-    if mode == "hybrid":  # exact lower-cased name, any of
-        p = people.select(F.col("id").alias("person_id"), F.lower("primary_name").alias("token"))
-        mt = c.join(p, "person_id").select("movie_id", "token")
-        return (rt.join(mt, "token").select("request_id", F.col("movie_id").alias("id")).distinct())
-    tokens = [r[0] for r in rt.select("token").distinct().collect()]  # bounded by the request check
-    mt = c.join(_token_hits(people, tokens), "person_id").select("movie_id", "token").distinct()
-    need = req_act.select("request_id", F.size("_tokens").alias("_need"))
-    got = rt.join(mt, "token").groupBy("request_id", "movie_id").agg(F.count(F.lit(1)).alias("_got"))
-    return (got.join(need, "request_id").filter(F.col("_got") == F.col("_need"))
-            .select("request_id", F.col("movie_id").alias("id")))
-
-
-def _score_pairs(pairs: DataFrame, req_act: DataFrame, cat: DataFrame, mode: str, weights) -> DataFrame:
-    """Score eligible (request, movie) pairs with the request's filters
-    (equi-joins on the pair keys; cosine as a JVM expression)."""
-    from marquee.functions.vector import cosine_cols
-    r = req_act.drop("_tokens", "actors")
-    j = pairs.join(cat, "id").join(r, "request_id")
-    preds = [F.lit(True)]
-    for col, cmp in (("from_year", lambda v, b: v >= b), ("to_year", lambda v, b: v <= b)):
-        if col in r.columns:
-            preds.append(F.col(col).isNull() | F.coalesce(cmp(F.col("start_year"), F.col(col)), F.lit(False)))
-    if "runtime_max" in r.columns:
-        preds.append(F.col("runtime_max").isNull() |
-                     F.coalesce(F.col("runtime_minutes") <= F.col("runtime_max"), F.lit(False)))
-    if "min_rating" in r.columns:
-        preds.append(F.col("min_rating").isNull() |
-                     F.coalesce(F.col("rating") >= F.col("min_rating"), F.lit(False)))
-    if "include_genres" in r.columns:
-        inc = F.filter(F.coalesce(F.col("include_genres"), F.array().cast("array<string>")),
-                       lambda x: x.isNotNull() & (F.trim(x) != ""))
-        preds.append((F.size(inc) == 0) | F.coalesce(F.arrays_overlap(F.col("genres"), inc), F.lit(False)))
-    if "exclude_genres" in r.columns:
-        exc = F.filter(F.coalesce(F.col("exclude_genres"), F.array().cast("array<string>")),
-                       lambda x: x.isNotNull() & (F.trim(x) != ""))
-        preds.append((F.size(exc) == 0) | ~F.coalesce(F.arrays_overlap(F.col("genres"), exc), F.lit(False)))
-    ok = preds[0]
-    for p_ in preds[1:]:
-        ok = ok & p_
-    sim = cosine_cols("embedding", "qvec")
-    scored = j.filter(ok).withColumn("similarity", sim).filter(F.col("similarity").isNotNull())
-    score = hybrid_score(F.col("similarity"), weights) if mode == "hybrid" else F.col("similarity")
-    return scored.select("request_id", "id", "similarity", score.alias("score"))
+    tokens = req.select(F.explode("_tokens").alias("token")).distinct()
+    if mode == "hybrid":  # exact lower-cased name
+        hits = (people.select(F.col("id").alias("person_id"), F.lower("primary_name").alias("token"))
+                .join(tokens, "token").select("person_id", "token"))
+    else:
+        hits = _token_hits(people, tokens)
+    return (cast.filter(F.col("category").isin(*ACTOR_CATEGORIES)).select("movie_id", "person_id")
+            .join(hits, "person_id").groupBy(F.col("movie_id").alias("id"))
+            .agg(F.collect_set("token").alias("matched")))
+
 
 _KNN_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("id", T.LongType()),
     T.StructField("similarity", T.DoubleType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("limit", T.LongType()),
 ])
 
 
-def _requests_payload(pdf: pd.DataFrame) -> dict:
+def _codes(lists, vocab: pd.Index) -> tuple[np.ndarray, np.ndarray]:
+    """(row, vocabulary code) of every list entry that the vocabulary has."""
+    flat = pd.Series(list(lists)).reset_index(drop=True).explode().dropna()
+    code = vocab.get_indexer(flat.to_numpy())
+    return flat.index.to_numpy()[code >= 0], code[code >= 0]
+
+
+def _requests_payload(pdf: pd.DataFrame, k: int) -> dict:
     """Pack a bounded block of requests into numpy arrays."""
     n = len(pdf)
     def opt(name):
@@ -250,46 +235,65 @@ def _requests_payload(pdf: pd.DataFrame) -> dict:
     norms = np.linalg.norm(q, axis=1) if n else np.zeros(0)
     ok = norms > 0
     q_unit = q / np.where(ok, norms, 1.0)[:, None] if n else q
-    vocab: dict[str, int] = {}
     def lists(name):
-        out = []
-        vals_col = pdf[name].values if name in pdf.columns else [None] * n
-        for vals in vals_col:
-            vals = [v for v in (vals if vals is not None else [])
-                    if v is not None and v.strip() != ""]
-            for v in vals:
-                vocab.setdefault(v, len(vocab))
-            out.append(vals)
-        return out
-    inc, exc = lists("include_genres"), lists("exclude_genres")
-    inc_m = np.zeros((n, len(vocab)), dtype=np.float32)
-    exc_m = np.zeros((n, len(vocab)), dtype=np.float32)
-    for i, vals in enumerate(inc):
-        for v in vals:
-            inc_m[i, vocab[v]] = 1.0
-    for i, vals in enumerate(exc):
-        for v in vals:
-            exc_m[i, vocab[v]] = 1.0
+        col = pdf[name].values if name in pdf.columns else [None] * n
+        return [[v for v in (x if x is not None else []) if v is not None and v.strip() != ""]
+                for x in col]
+    inc, exc, tok = lists("include_genres"), lists("exclude_genres"), lists("_tokens")
+    vocab = pd.Index(sorted({v for x in inc + exc for v in x}), dtype=object)
+    tokens = pd.Index(sorted({v for x in tok for v in x}), dtype=object)
+    def matrix(vals):
+        m = np.zeros((n, len(vocab)), dtype=np.float32)
+        m[_codes(vals, vocab)] = 1.0
+        return m
+    inc_m, exc_m = matrix(inc), matrix(exc)
+    limit = opt("limit")
     return {
         "ids": pdf["request_id"].to_numpy(dtype=np.int64), "q": q_unit, "ok": ok,
         "from_year": opt("from_year"), "to_year": opt("to_year"),
         "runtime_max": opt("runtime_max"), "min_rating": opt("min_rating"),
         "vocab": vocab, "inc": inc_m, "has_inc": inc_m.sum(axis=1) > 0,
         "exc": exc_m, "has_exc": exc_m.sum(axis=1) > 0,
+        "tokens": tokens, "asked": _codes(tok, tokens),
+        "limit": np.where(np.isnan(limit), k, np.clip(limit, 1, k)).astype(np.int64),
     }
 
 
 def _empty_candidates() -> pd.DataFrame:
     return pd.DataFrame({"request_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"),
                          "similarity": pd.Series(dtype="float64"),
-                         "score": pd.Series(dtype="float64")})
+                         "score": pd.Series(dtype="float64"), "limit": pd.Series(dtype="int64")})
+
+
+def _actor_mask(req: dict, s: int, e: int, movie: np.ndarray, code: np.ndarray,
+                n_movies: int, mode: str) -> np.ndarray | None:
+    """Which movies pass the actor filter of requests s..e: a product of the
+    requests' and the movies' token incidence. None: no request has one."""
+    rows, asked = req["asked"]
+    lo, hi = np.searchsorted(rows, [s, e])
+    if lo == hi:
+        return None
+    used, place = np.unique(asked[lo:hi], return_inverse=True)
+    want = np.zeros((e - s, len(used)), np.float32)
+    want[rows[lo:hi] - s, place] = 1.0
+    need = want.sum(axis=1)
+    at = np.minimum(np.searchsorted(used, code), len(used) - 1)
+    mine = used[at] == code
+    some, column = np.unique(movie[mine], return_inverse=True)
+    have = np.zeros((len(used), len(some)), np.float32)
+    have[at[mine], column] = 1.0
+    got = want @ have
+    out = np.repeat(need[:, None] == 0, n_movies, axis=1)
+    out[:, some] |= (got > 0) if mode == "hybrid" else (got == need[:, None])
+    return out
 
 
 def _score_block(pdf: pd.DataFrame, req: dict, k: int, mode: str, weights,
                  req_block: int) -> pd.DataFrame:
-    """Score one catalogue batch against all broadcast requests and keep,
-    per request, every candidate scoring at least its local k-th best (ties
-    at the boundary are all kept so the global id tie-break stays exact)."""
+    """Score one catalogue batch against a block of requests and keep, per
+    request, its best k by (score, id): the order of the global ranking, so
+    ties never pass more than k rows."""
+    pdf = pdf.sort_values("id", kind="stable")
     emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"].values])
     norms = np.linalg.norm(emb, axis=1)
     valid = norms > 0
@@ -301,14 +305,11 @@ def _score_block(pdf: pd.DataFrame, req: dict, k: int, mode: str, weights,
     ids = pdf["id"].to_numpy(dtype=np.int64)
     vocab = req["vocab"]
     g = np.zeros((len(pdf), len(vocab)), dtype=np.float32)
-    if vocab:
-        for i, gl in enumerate(pdf["genres"].values):
-            if gl is None:
-                continue
-            for x in gl:
-                j = vocab.get(x)
-                if j is not None:
-                    g[i, j] = 1.0
+    if len(vocab):
+        g[_codes(pdf["genres"], vocab)] = 1.0
+    acted = len(req["tokens"]) > 0
+    if acted:
+        movie, code = _codes(pdf["matched"], req["tokens"])
     prior = None
     if mode == "hybrid":
         prior = (weights[1] * np.minimum(np.nan_to_num(rating, nan=0.0) / 10.0, 1.0)
@@ -328,28 +329,40 @@ def _score_block(pdf: pd.DataFrame, req: dict, k: int, mode: str, weights,
                 given = ~np.isnan(bound)
                 if given.any():
                     mask &= ~given[:, None] | op(col[None, :], bound[:, None])
-            if vocab:
+            if len(vocab):
                 hit_inc = (req["inc"][s:e] @ g.T) > 0
                 hit_exc = (req["exc"][s:e] @ g.T) > 0
                 mask &= ~req["has_inc"][s:e, None] | hit_inc
                 mask &= ~(req["has_exc"][s:e, None] & hit_exc)
+            passed = _actor_mask(req, s, e, movie, code, len(pdf), mode) if acted else None
+            if passed is not None:
+                mask &= passed
             score = weights[0] * sim + prior[None, :] if mode == "hybrid" else sim
             score = np.where(mask, score, -np.inf)
             kk = min(k, score.shape[1])
             if kk == 0:
                 continue
-            thr = np.partition(score, score.shape[1] - kk, axis=1)[:, score.shape[1] - kk]
-            keep = (score >= thr[:, None]) & mask
+            thr = np.partition(score, score.shape[1] - kk, axis=1)[:, score.shape[1] - kk][:, None]
+            above, tie = score > thr, (score == thr) & mask
+            room = kk - above.sum(axis=1, keepdims=True)
+            keep = (above & mask) | (tie & (np.cumsum(tie, axis=1) <= room))
             ri, bi = np.nonzero(keep)
             if len(ri):
                 out.append(pd.DataFrame({
                     "request_id": req["ids"][s:e][ri], "id": ids[bi],
-                    "similarity": sim[ri, bi], "score": score[ri, bi]}))
+                    "similarity": sim[ri, bi], "score": score[ri, bi],
+                    "limit": req["limit"][s:e][ri]}))
     if not out:
         return _empty_candidates()
     return pd.concat(out, ignore_index=True)
 
 
+#: A request side up to this size is broadcast; a cell of the blocked product
+#: holds about as much of the catalogue.
+MAX_REQUEST_BYTES = 256 << 20
+CELL_BYTES = 64 << 20
+
+
 def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
              mode: str = "similarity", weights=HYBRID_WEIGHTS,
              title_types: Sequence[str] | None = None,
@@ -358,20 +371,19 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
     """V4: the per-request search for a whole table of requests.
 
     ``requests``: request_id, qvec and optionally the filter columns in
-    ``REQUEST_FILTERS`` and ``actors``. ``mode`` = "similarity" (V2 order,
-    fuzzy all-of actor filter F5) or "hybrid" (V3, exact any-of F4).
-    Requests with an actor filter take a candidate path: their eligible
-    (request, movie) pairs come from equi-joins (tokens matched to people by
-    an Aho-Corasick pass, people to cast) and are scored directly; the rest
-    take the block-scoring path below.
-
-    Plan: the request side is size-checked and broadcast in blocks of at most
-    ``max_broadcast_requests`` rows; the catalogue -- the large side -- is
-    streamed through ``mapInPandas`` where each Arrow batch is scored against
-    the block with one matrix product and reduced to a local top-k per
-    request. Only k candidates per request per batch reach the shuffle; the
-    final ``row_number() <= k`` per request then runs over bounded groups.
-    No cross join is planned and no pair set is materialised.
+    ``REQUEST_FILTERS``, ``actors`` and ``limit`` (null: k; else clamped to
+    [1, k]). ``mode`` = "similarity" (V2 order, fuzzy all-of actor filter F5)
+    or "hybrid" (V3, exact any-of F4).
+
+    Plan, one path for all requests: the request side is checked in rows and
+    bytes (vectors and lists) and broadcast; the catalogue -- the large side
+    -- is streamed through ``mapInPandas`` where each Arrow batch is scored
+    against the block with one matrix product and reduced to a local top-k per
+    request. Actor filters are masks, as genres are: the cast is aggregated
+    once to the tokens that each movie matches, joined by movie id. Only k
+    candidates per request per batch reach the shuffle; the final
+    ``row_number()`` per request then runs over bounded groups. No cross join
+    is planned and no pair set is materialised.
     """
     spark = requests.sparkSession
     ship_package(spark)
@@ -380,20 +392,22 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
         cat = title_type_filter(cat, title_types)
     cat = cat.select("id", "embedding", "start_year", "runtime_minutes", "rating",
                      "votes", "genres")
-    req_cols = ["request_id", "qvec"] + [c for c in REQUEST_FILTERS if c in requests.columns]
-    acted = None
+    req_cols = ["request_id", "qvec"] + [c for c in (*REQUEST_FILTERS, "limit") if c in requests.columns]
     if "actors" in requests.columns:
         if cast is None or people is None:
             raise ValueError("requests with actors need the cast and people tables")
-        tagged = requests.select(*req_cols, "actors").withColumn("_tokens", _actor_tokens(mode))
-        req_act = tagged.filter(F.size("_tokens") > 0)
-        acted = _score_pairs(_actor_pairs(req_act, cast, people, mode), req_act, cat, mode, weights)
-        requests = tagged.filter(F.size("_tokens") == 0)
+        requests = requests.withColumn("_tokens", _actor_tokens(mode))
+        cat = cat.join(_movie_tokens(requests, cast, people, mode), "id", "left")
+        req_cols.append("_tokens")
     req = requests.select(*req_cols)
     # Size check: only a request side proven small is shipped to executors.
-    n_probe = req.limit(max_broadcast_requests + 1).count()
-    if n_probe <= max_broadcast_requests:
-        payload = spark.sparkContext.broadcast(_requests_payload(req.toPandas()))
+    words = [c for c in ("include_genres", "exclude_genres", "_tokens") if c in req_cols]
+    size = F.size("qvec").cast("long") * 8 + 128
+    for c in words:
+        size = size + F.coalesce(F.length(F.array_join(c, " ")) * 4, F.lit(0))
+    n, n_bytes, width = req.agg(F.count(F.lit(1)), F.sum(size), F.max(F.size("qvec"))).first()
+    if n <= max_broadcast_requests and (n_bytes or 0) <= MAX_REQUEST_BYTES:
+        payload = spark.sparkContext.broadcast(_requests_payload(req.toPandas(), k))
 
         def score_parts(it):
             reqd = payload.value
@@ -404,26 +418,22 @@ def knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10,
         cand = cat.mapInPandas(score_parts, _KNN_SCHEMA)
     else:
         cand = _blocked_candidates(req, cat, k, mode, weights, req_block,
-                                   max_broadcast_requests)
-    if acted is not None:
-        cand = cand.unionByName(acted)
+                                   max(math.ceil(n / max_broadcast_requests),
+                                       math.ceil(n_bytes / MAX_REQUEST_BYTES)), width)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
     return (cand.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+            .filter((F.col("rank") <= k) & (F.col("rank") <= F.col("limit"))).drop("limit"))
 
 
 def _blocked_candidates(req: DataFrame, cat: DataFrame, k: int, mode: str,
-                        weights, req_block: int, block_rows: int) -> DataFrame:
+                        weights, req_block: int, nb_r: int, width: int) -> DataFrame:
     """Large request tables: a blocked nested-loop product. Requests are
-    hashed into row blocks of about ``block_rows``, the catalogue into
-    ``spark.sql.shuffle.partitions`` blocks; each (request block, catalogue
-    block) cell is one cogroup task that does a matrix product and keeps a
-    local top-k. Nothing passes through the driver and no pair is emitted
-    beyond the local top-k."""
-    spark = req.sparkSession
-    n = req.count()
-    nb_r = max(1, math.ceil(n / block_rows))
-    nb_c = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hashed into ``nb_r`` blocks, the catalogue into blocks of about
+    ``CELL_BYTES`` of vectors; each (request block, catalogue block) cell is
+    one cogroup task that does a matrix product and keeps a local top-k.
+    Nothing passes through the driver and no pair is emitted beyond the local
+    top-k."""
+    nb_c = max(1, math.ceil(cat.select("id").count() * 8 * max(width, 1) / CELL_BYTES))
     r = (req.withColumn("rb", F.pmod(F.xxhash64("request_id"), F.lit(nb_r)))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nb_c - 1)).cast("array<bigint>"))))
     c = (cat.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nb_c)))
@@ -432,7 +442,7 @@ def _blocked_candidates(req: DataFrame, cat: DataFrame, k: int, mode: str,
     def cell(rpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(rpdf) == 0 or len(cpdf) == 0:
             return _empty_candidates()
-        return _score_block(cpdf, _requests_payload(rpdf), k, mode, weights, req_block)
+        return _score_block(cpdf, _requests_payload(rpdf, k), k, mode, weights, req_block)
 
     return (r.groupBy("rb", "cb").cogroup(c.groupBy("rb", "cb"))
             .applyInPandas(cell, _KNN_SCHEMA))
