@@ -152,3 +152,11 @@ def test_v6_backfill_is_idempotent(spark):
     b = sorted((r.id, tuple(r.embedding or ()), r.embedding_model) for r in twice.collect())
     assert a == b
     once.unpersist()
+
+
+def test_dump_keeps_control_characters_and_empty_fields(spark, tmp_path):
+    from marquee.sources.dumps import read_dump
+    (tmp_path / "x.tsv").write_text("tconst\taverageRating\tnumVotes\n\\N\t\tx\\\\ty\n\u0001\tl\\nm\ta\\\\\\tb\nq\"u\t\\\\N\t7\n",
+                                    encoding="utf-8")
+    rows = read_dump(spark, str(tmp_path), "title_ratings", partitions=0).collect()
+    assert [tuple(r) for r in rows] == [(None, "", "x\\ty"), ("\u0001", "l\nm", "a\\\tb"), ('q"u', "\\N", "7")]

@@ -2,6 +2,7 @@
 the batch kNN join against a brute-force numpy answer."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -156,3 +157,41 @@ def test_large_k_path_equals_collected_path(spark, monkeypatch):
     monkeypatch.setattr(S, "COLLECT_TOP_K_MAX", 5)
     b = [(r["rank"], r.id, tuple(r.actor_ids or [])) for r in hybrid_search(cat, cast, people, q, limit=20).collect()]
     assert sorted(a) == sorted(b) and len(a) == 20
+
+
+def _equal_vectors(spark, n=300):
+    return spark.range(n).selectExpr(
+        "id", "array(1.0D, 0.0D) AS embedding", "2000 AS start_year", "90 AS runtime_minutes",
+        "5.0D AS rating", "10 AS votes", "array('red') AS genres")
+
+
+@pytest.mark.parametrize("mode", ["similarity", "hybrid"])
+def test_knn_join_ties_keep_k_rows_per_batch(spark, mode):
+    import marquee.operators.search as S
+    pdf = _equal_vectors(spark).toPandas().sample(frac=1, random_state=3)
+    req = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "request_id long, qvec array<double>").toPandas()
+    out = S._score_block(pdf, S._requests_payload(req, 5), 5, mode, S.HYBRID_WEIGHTS, 8)
+    assert len(out) == 100 and np.all(np.sort(out.groupby("request_id")["id"].max()) == 4)
+
+
+def test_knn_join_limit_per_request(spark):
+    req = spark.createDataFrame([(1, [1.0, 0.0], 2), (2, [1.0, 0.0], None), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], 99)],
+                                "request_id long, qvec array<double>, limit int")
+    got = knn_join(req, _equal_vectors(spark), k=4)
+    assert "limit" not in got.columns
+    n = {}
+    for r in got.collect():
+        n.setdefault(r.request_id, []).append(r.id)
+    assert {k: sorted(v) for k, v in n.items()} == {1: [0, 1], 2: [0, 1, 2, 3], 3: [0], 4: [0, 1, 2, 3]}
+
+
+def test_knn_join_actor_filter_blocked_equals_broadcast(spark, monkeypatch):
+    import marquee.operators.search as S
+    from marquee.plans.search_queries import actor_requests
+    cat = sv.stored_catalog(spark, SF001)
+    cast, people = sv.stored_cast(spark, SF001), sv.stored_person(spark, SF001)
+    req = actor_requests(spark, SF001)
+    rows = lambda df: {(r.request_id, r["rank"], r.id) for r in df.collect()}
+    a = rows(knn_join(req, cat, k=4, cast=cast, people=people))
+    monkeypatch.setattr(S, "TOKEN_BLOCK", 1)
+    assert rows(knn_join(req, cat, k=4, cast=cast, people=people, max_broadcast_requests=50)) == a
