@@ -14,12 +14,18 @@
    smallest member (a star, linear in the list), and the connected components
    of the stars are the clusters: every pair with enough collisions lies
    inside one cluster.
-5. A cluster is cut into blocks of bounded size and each pair of blocks is one
-   task group. It counts the collisions of its classes over all ``k``
-   coordinates, those of the skipped lists included, retains the pairs with
-   ``t`` or more, and confirms these on the full sets by an incidence product.
-   The group returns a spanning forest of the confirmed links, never its
-   pairs. Components of the forests are the near-duplicate groups.
+5. A cluster is cut into blocks of bounded size, each a task group. It counts
+   the collisions of its classes over all ``k`` coordinates, those of the
+   skipped lists included, retains the pairs with ``t`` or more, and confirms
+   these on the full sets by an incidence product. The group returns a
+   spanning forest of the confirmed links, never its pairs.
+6. The cluster's hub, the class that shares most postings, is in every block,
+   so copies of one text hang together after this one linear pass. What is
+   left of a cluster, the classes outside its largest component so far, is cut
+   into blocks of its own, and each of these meets every block of the cluster.
+   Two classes of the largest component are never compared again: another
+   link between them changes no component. Components of all forests are the
+   near-duplicate groups.
 """
 
 from __future__ import annotations
@@ -120,8 +126,9 @@ def _sets(n: int, k: int):
                 [pa.array([rows["cls"][i] for i in keep], pa.binary()),
                  pa.array([rows["cluster"][i] for i in keep], pa.int64()),
                  pa.array([rows["blocks"][i] for i in keep], pa.int64()),
+                 pa.array([rows["is_hub"][i] for i in keep], pa.bool_()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["cls", "cluster", "blocks", "keys", "shingles"])
+                names=["cls", "cluster", "blocks", "is_hub", "keys", "shingles"])
     return run
 
 
@@ -190,11 +197,36 @@ def _link(percent: int, k: int, least: int):
         adj |= np.eye(n, dtype=bool)
         root = _roots(adj)
         moved = np.flatnonzero(root != np.arange(n))
-        return pa.table({"a": pa.array([cls[x] for x in moved], pa.binary()),
+        return pa.table({"cluster": pa.array([key[0].as_py()] * len(moved), pa.int64()),
+                         "a": pa.array([cls[x] for x in moved], pa.binary()),
                          "b": pa.array([cls[root[x]] for x in moved], pa.binary())})
     return run
 
 
+def _blocks():
+    """Blocks that the classes of a group need."""
+    return F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES),
+                      F.ceil(F.count("*") / BLOCK_DOCS)).cast("long")
+
+
+def _left_over(member: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, rest, n_rest, n_main`` of the classes of every cluster that is
+    not yet one component: whether a class is outside the cluster's largest
+    component, and the blocks of either side."""
+    large = member.where("blocks > 1").select("cls", "cluster", "n_shingles")
+    open_links = links.join(large.select("cluster").distinct(), "cluster", "left_semi")
+    label = connected_components(open_links.select("a", "b"))
+    label = large.join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
+        "label", F.coalesce("root", "cls")).drop("root")
+    main = (label.groupBy("cluster", "label").agg(F.sum("n_shingles").alias("n"))
+            .groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
+    label = label.join(main, "cluster").select("cls", "cluster", "n_shingles", (F.col("label") != F.col("main")).alias("rest"))
+    n = label.groupBy("cluster", "rest").agg(_blocks().alias("n")).groupBy("cluster").agg(
+        F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("n_rest"),
+        F.sum(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("n"))).alias("n_main"))
+    return label.join(n.where("n_rest > 0"), "cluster").select("cls", "rest", "n_rest", "n_main")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int = K,
                     z: float = Z) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, text_hash``
@@ -225,36 +257,56 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     shared = posts.join(freq, "key")
     prefix = (shared.groupBy("node").agg(F.collect_set(F.struct("n", "key")).alias("own"))
               .where(F.size("own") >= t)
-              .select("node", F.explode(F.slice(F.sort_array("own"), F.lit(1), F.size("own") - (t - 1))).alias("p"))
-              .select("node", F.col("p.key").alias("key")))
+              .select("node", F.aggregate("own", F.lit(0).cast("long"), lambda w, p: w + p["n"]).alias("weight"),
+                      F.explode(F.slice(F.sort_array("own"), F.lit(1), F.size("own") - (t - 1))).alias("p"))
+              .select("node", "weight", F.col("p.key").alias("key")))
     prefix = stored(prefix, "prefix")
     star = prefix.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")) \
         .where("pivot <> far").select("key", "pivot")
     clusters = connected_components(
         prefix.join(star, "key").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    clusters = clusters.select("node", F.col("root").alias("cluster"))
+    clusters = clusters.select("node", F.col("root").alias("cluster")).join(
+        prefix.groupBy("node").agg(F.max("weight").alias("weight")), "node")
 
     # One text per class of a cluster, cut into blocks of bounded size.
     first = full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"),
                                     F.min("n_shingles").alias("n_shingles"))
-    member = stored(first.withColumn("node", F.xxhash64("cls")).join(clusters, "node")
-                    .select("cls", "cluster", "n_shingles", "f.doc_id", "f.text_hash"), "members")
-    sizes = member.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES),
-                   F.ceil(F.count("*") / BLOCK_DOCS)).cast("long").alias("blocks"))
-    chosen = member.join(sizes, "cluster").select(
-        F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "cls", "cluster", "blocks")
-    sets = (base.withColumn("text_hash", F.xxhash64("text"))
-            .join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
-            .select("text", "cls", "cluster", "blocks")
-            .mapInArrow(_sets(words, k), "cls binary, cluster long, blocks long, keys array<long>, shingles array<long>"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    grouped = (sets.withColumn("block", block)
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-               .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "cls", "keys", "shingles"))
-    links = grouped.groupBy("cluster", "i", "j").applyInArrow(_link(percent, k, t), "a binary, b binary")
-    component = connected_components(links)
+    member = first.withColumn("node", F.xxhash64("cls")).join(clusters, "node").select(
+        "cls", "cluster", "weight", "n_shingles", "f.doc_id", "f.text_hash")
+    member = stored(member, "members")
+    sizes = member.groupBy("cluster").agg(_blocks().alias("blocks"), F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
+    member = stored(member.join(sizes, "cluster").select(
+        "cls", "cluster", "blocks", "n_shingles", (F.col("cls") == F.col("hub")).alias("is_hub"), "doc_id", "text_hash"),
+        "blocks")
+    chosen = member.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "cls", "cluster",
+                           "blocks", "is_hub")
+    sets = stored(
+        base.withColumn("text_hash", F.xxhash64("text"))
+        .join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
+        .select("text", "cls", "cluster", "blocks", "is_hub")
+        .mapInArrow(_sets(words, k), "cls binary, cluster long, blocks long, is_hub boolean, "
+                                     "keys array<long>, shingles array<long>"), "sets")
+    zero = F.lit(0).cast("long")
+    link = _link(percent, k, t)
+    forest = "cluster long, a binary, b binary"
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    links = stored(
+        sets.withColumn("block", F.explode(F.when(F.col("is_hub"), F.sequence(zero, F.col("blocks") - 1))
+                                           .otherwise(F.array(own))))
+        .select("cluster", F.col("block").alias("i"), F.col("block").alias("j"), "block", "cls", "keys", "shingles")
+        .groupBy("cluster", "i", "j").applyInArrow(link, forest), "links")
+
+    # What one pass left apart, against all of its cluster.
+    rest = F.col("rest")
+    block = F.when(rest, F.pmod(F.xxhash64("cls"), F.col("n_rest"))).otherwise(
+        F.col("n_rest") + F.pmod(F.xxhash64("cls"), F.col("n_main")))
+    last = F.when(rest, F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1
+    more = (sets.drop("blocks", "is_hub").join(_left_over(member, links), "cls").withColumn("block", block)
+            .withColumn("other", F.explode(F.sequence(zero, last)))
+            .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "block", "cls", "keys", "shingles")
+            .groupBy("cluster", "i", "j").applyInArrow(link, forest))
+    component = connected_components(links.unionByName(more).select("a", "b"))
 
     # Back to documents.
     labelled = (profile.select("doc_id", "text_hash", "n_shingles", "cls")

@@ -1,11 +1,12 @@
 """Near-duplicate groups against brute force over all pairs."""
 
+import random
 import re
 
 import pytest
 
 from marquee.llm.near_dedup import drop_near_duplicates, match_threshold, near_duplicates
-from tests.llm.fixtures import SCHEMA, documents, frame, with_clashes
+from tests.llm.fixtures import SCHEMA, documents, frame, prose, with_clashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +61,33 @@ def test_clusters_of_several_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def chained(seed):
+    """A large group of near copies, and chains whose links lie between blocks."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(2):
+        base = prose(rng, 150).split(" ")
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randint(0, 12)):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randint(0, 10 ** 6)
+            texts.append(" ".join(w))
+        for step in range(25):
+            base[step * 5] = "step%d" % step
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("docs", [1, 3, 10])
+def test_chains_across_blocks(spark, monkeypatch, docs):
+    import marquee.llm.near_dedup as nd
+    monkeypatch.setattr(nd, "BLOCK_DOCS", docs)
+    rows = chained(docs)
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = documents()
     out = drop_near_duplicates(with_clashes(frame(spark)), 3, 85)
