@@ -36,11 +36,12 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: the lineage
-    is cut there, and a lost executor costs a re-read, not a re-run."""
+    is cut there, and a lost executor costs a re-read, not a re-run. A task
+    buffers a row group of ``group_mb``; wide rows take a smaller one."""
     path = scratch_table(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_mb << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -220,7 +220,9 @@ def _left_over(member: DataFrame, links: DataFrame) -> DataFrame:
         "label", F.coalesce("root", "cls")).drop("root")
     main = (label.groupBy("cluster", "label").agg(F.sum("n_shingles").alias("n"))
             .groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
-    label = label.join(main, "cluster").select("cls", "cluster", "n_shingles", (F.col("label") != F.col("main")).alias("rest"))
+    # Written: with nothing grouped behind it, Spark may split this join at a hot cluster.
+    label = stored(label.join(main, "cluster").select(
+        "cls", "cluster", "n_shingles", (F.col("label") != F.col("main")).alias("rest")), "rest")
     n = label.groupBy("cluster", "rest").agg(_blocks().alias("n")).groupBy("cluster").agg(
         F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("n_rest"),
         F.sum(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("n"))).alias("n_main"))
@@ -275,9 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
         "cls", "cluster", "weight", "n_shingles", "f.doc_id", "f.text_hash")
     member = stored(member, "members")
     sizes = member.groupBy("cluster").agg(_blocks().alias("blocks"), F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
-    member = stored(member.join(sizes, "cluster").select(
-        "cls", "cluster", "blocks", "n_shingles", (F.col("cls") == F.col("hub")).alias("is_hub"), "doc_id", "text_hash"),
-        "blocks")
+    member = member.join(sizes, "cluster").select(
+        "cls", "cluster", "blocks", "n_shingles", (F.col("cls") == F.col("hub")).alias("is_hub"), "doc_id", "text_hash")
     chosen = member.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "cls", "cluster",
                            "blocks", "is_hub")
     sets = stored(
@@ -285,7 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
         .join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
         .select("text", "cls", "cluster", "blocks", "is_hub")
         .mapInArrow(_sets(words, k), "cls binary, cluster long, blocks long, is_hub boolean, "
-                                     "keys array<long>, shingles array<long>"), "sets")
+                                     "keys array<long>, shingles array<long>"), "sets", 16)
     zero = F.lit(0).cast("long")
     link = _link(percent, k, t)
     forest = "cluster long, a binary, b binary"
