@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,23 @@ def stored(df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: How to drop what this Python worker keeps between tasks.
+_KEPT: list = []
+
+
+def kept_by_worker(drop) -> None:
+    """Register ``drop``, which frees something kept between tasks."""
+    _KEPT.append(drop)
+
+
+def free_worker() -> None:
+    """Workers outlive their tasks: an operator that needs the memory first
+    frees what another one left there (it is built again when needed)."""
+    for drop in _KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text):
     """Lower-case A-Z only; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

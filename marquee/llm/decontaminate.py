@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import stored
+from marquee.llm.common import free_worker, stored
 from marquee.session import ship_package
 
 WINDOW = 10
@@ -63,6 +63,7 @@ def _scan(keys, first: bool):
     """Adds what one automaton finds to the rows' accumulating columns."""
     def run(batches):
         import ahocorasick
+        free_worker()
         auto = ahocorasick.Automaton()
         for k, v in keys.value.items():
             auto.add_word(k, v)

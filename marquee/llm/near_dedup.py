@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import (connected_components, gram_hashes, hash_words,
-                                mix, steps, stored)
+from marquee.llm.common import (connected_components, free_worker, gram_hashes,
+                                hash_words, mix, steps, stored)
 
 #: MinHash coordinates, and standard deviations below the mean at which the
 #: match threshold lies.
@@ -93,6 +93,7 @@ def _profile(n: int, k: int):
     sign = _signer(k)
 
     def run(batches):
+        free_worker()
         for b in batches:
             sizes, digests, keys = [], [], []
             for s in shingle_sets([t or "" for t in b.column("text").to_pylist()], n):
@@ -114,6 +115,7 @@ def _sets(n: int, k: int):
     sign = _signer(k)
 
     def run(batches):
+        free_worker()
         for b in batches:
             rows = b.to_pydict()
             keep, sets, keys = [], [], []

@@ -13,6 +13,8 @@ import json
 import re
 from array import array
 
+from marquee.llm.common import kept_by_worker
+
 #: Parts that a worker's cache holds before it starts anew.
 CACHE = 600_000
 
@@ -93,6 +95,7 @@ class Encoder(dict):
 
 
 _ENCODERS: dict[str, Encoder] = {}
+kept_by_worker(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:

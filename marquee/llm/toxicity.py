@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import gram_hashes, hash_words, mix, steps
+from marquee.llm.common import free_worker, gram_hashes, hash_words, mix, steps
 from marquee.session import ship_package
 
 BITS = 22
@@ -76,6 +76,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, alpha
 
 
 def _features(batches):
+    free_worker()
     for b in batches:
         kind = pa.list_(pa.int32())
         rows = [np.unique(x) for x in feature_slots(b.column("text").to_pylist())]
@@ -127,6 +128,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
 
 def _score(model):
     def run(batches):
+        free_worker()
         bias, slots, weights = model.value
         table = np.zeros(1 << BITS, np.float32)
         table[slots] = weights
