@@ -119,9 +119,13 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: i
               .withColumn("__passes", F.floor(F.col("__quota") / F.col("__supply")))
               .withColumn("__more", F.col("__quota") % F.col("__supply"))
               .withColumn("__from", start).drop("__quota"))
-    order = Window.partitionBy("__src", "__shard").orderBy("__rank", "doc_id", "__size")
-    placed = dealt.withColumn("__hi", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(quotas, F.col("__src").eqNullSafe(F.col("__q_src")) & (F.col("__shard") == F.col("__q_shard")), "left")
+    # One key without nulls for the window and the join: the texts move once.
+    def key(src):
+        return F.coalesce(F.concat(F.lit("s"), F.col(src)), F.lit(""))
+    order = Window.partitionBy("__key", "__shard").orderBy("__rank", "doc_id", "__size")
+    quotas = quotas.withColumn("__q_key", key("__q_src"))
+    placed = dealt.withColumn("__key", key("__src")).withColumn("__hi", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.join(quotas, (F.col("__key") == F.col("__q_key")) & (F.col("__shard") == F.col("__q_shard")), "left")
     lo = F.col("__hi") - F.col("__size")
 
     def cut(a, b):
