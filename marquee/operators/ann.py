@@ -44,7 +44,8 @@ def build_ivf(catalog: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: in
 def approx_knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10, n_cells: int = 16,
                     nprobe: int = 4, block_rows: int = 50_000, seed: int = 7,
                     mode: str = "similarity", weights=(0.60, 0.30, 0.10)) -> DataFrame:
-    """V5: approximate V4. Returns (request_id, id, similarity, score, rank)."""
+    """V5: approximate V4, ``limit`` of a request as there. Returns
+    (request_id, id, similarity, score, rank)."""
     spark = requests.sparkSession
     ship_package(spark)
     cat = catalog.filter(F.col("embedding").isNotNull()).select(
@@ -78,7 +79,7 @@ def approx_knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10, n_cell
 
     req_cols = [c for c in requests.columns if c in (
         "request_id", "qvec", "from_year", "to_year", "runtime_max", "min_rating",
-        "include_genres", "exclude_genres")]
+        "include_genres", "exclude_genres", "limit")]
     req = requests.select(*req_cols)
     probes = req.select("request_id", "qvec").mapInPandas(probe, probe_schema)
     req_b = (req.join(probes, "request_id").join(F.broadcast(subs), "cell")
@@ -87,12 +88,13 @@ def approx_knn_join(requests: DataFrame, catalog: DataFrame, k: int = 10, n_cell
     def cell(rpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(rpdf) == 0 or len(cpdf) == 0:
             return _empty_candidates()
-        return _score_block(cpdf, _requests_payload(rpdf), k, mode, weights, 512)
+        return _score_block(cpdf, _requests_payload(rpdf, k), k, mode, weights, 512)
 
     cand = (req_b.groupBy("cell", "sub").cogroup(cat_b.groupBy("cell", "sub"))
             .applyInPandas(cell, _KNN_SCHEMA))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w))
+            .filter((F.col("rank") <= k) & (F.col("rank") <= F.col("limit"))).drop("limit"))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
