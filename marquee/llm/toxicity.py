@@ -88,6 +88,8 @@ def _fit(batches):
     """One task: the sample's rows, in the order of their hash."""
     got = [(p, y, np.asarray(x.values, np.int32)) for b in batches
            for p, y, x in zip(b.column("place").to_pylist(), b.column("label").to_pylist(), b.column("slots"))]
+    if not got:
+        return
     got.sort(key=lambda r: r[0])
     bias, w = ftrl([x for _, _, x in got], np.array([y for _, y, _ in got], float))
     at = np.flatnonzero(w)
@@ -101,31 +103,47 @@ def held_out(doc_id):
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = FIT_ROWS) -> DataFrame:
-    """``place, label, text``: at most ``limit`` labelled documents outside the
-    held-out quarter, by the hash of their id (a bounded sample). Null labels
-    and ids are skipped; an id with several labels has its largest."""
+    """``place, label, text``: at most ``limit`` rows, one of each labelled
+    document of ``docs`` outside the held-out quarter, by the hash of their id
+    (a bounded sample). Null labels and ids are skipped; an id with several
+    labels has its largest, one with several texts the greatest."""
     some = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-            .groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max(label).cast("int").alias("label"))
+            .groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max(label).cast("int").alias("label")))
+    # Ids alone: labels of documents that are not here take no place.
+    here = docs.select(F.col("doc_id").cast("long").alias("h_doc")).distinct()
+    some = (some.join(here, F.col("l_doc") == F.col("h_doc"), "left_semi")
             .withColumn("place", F.xxhash64(F.lit(5), "l_doc")).orderBy("place", "l_doc").limit(limit))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # ``limit`` narrow rows: a bounded broadcast, so no text is shuffled.
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # ``limit`` narrow rows: a bounded broadcast. Repeated ids are reduced
+    # before the shuffle, so a task sends one text of each at most.
     return (text.join(F.broadcast(some), F.col("doc_id") == F.col("l_doc"))
-            .select("place", "label", F.coalesce("text", F.lit("")).alias("text")))
+            .groupBy("l_doc", "place", "label").agg(F.max("text").alias("text")).select("place", "label", "text"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_ROWS):
-    """``(bias, slots, weights)``: the model's non-zero weights. Without any
-    labelled row the bias is that of no knowledge, 0."""
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, limit: int):
+    """``fit_toxicity``'s model, or None without any labelled row."""
     ship_package(docs.sparkSession)
     sample = fit_rows(docs, labels, label, limit)
     fitted = (sample.mapInArrow(_features, "place long, label int, slots array<int>").repartition(1)
               .mapInArrow(_fit, "slot int, weight double"))
     rows = fitted.toArrow()
+    if not rows.num_rows:
+        return None
     slot, weight = rows.column("slot").to_numpy(), rows.column("weight").to_numpy()
     bias = weight[slot < 0].sum()
     return float(bias), slot[slot >= 0].astype(np.int32), weight[slot >= 0].astype(np.float32)
 
 
+#: No knowledge: every score is one half.
+_NO_MODEL = (0.0, np.empty(0, np.int32), np.empty(0, np.float32))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_ROWS):
+    """``(bias, slots, weights)``: the model's non-zero weights. Without any
+    labelled row the bias is that of no knowledge, 0."""
+    return _fitted(docs, labels, label, limit) or _NO_MODEL
+
+
 def _score(model):
     def run(batches):
         free_worker()
@@ -142,17 +160,25 @@ def _score(model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with ``__score`` (0 to 1, higher: likelier toxic). Only texts
-    are inputs of a score; null counts as empty and scores by the bias.
-    Repeated rows score alike; an empty table gives an empty result."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit_toxicity(docs, labels, "toxic", limit))
+def _scored(docs: DataFrame, model) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", F.col("text").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(_score(model), f"{kinds}, __score double")
 
 
+def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """``docs`` with ``__score`` (0 to 1, higher: likelier toxic). Only texts
+    are inputs of a score; null counts as empty and scores by the bias.
+    Repeated rows score alike; an empty table gives an empty result; where no
+    label could be learned every score is one half."""
+    return _scored(docs, fit_toxicity(docs, labels, "toxic", limit))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
-    return score_toxicity(docs, labels).where(F.col("__score") < threshold).select(*docs.columns)
+    """The rows of ``docs`` that score below ``threshold``; all rows where no
+    label could be learned (``labels`` has none of these documents)."""
+    model = _fitted(docs, labels, "toxic", FIT_ROWS)
+    if model is None:
+        return docs
+    return _scored(docs, model).where(F.col("__score") < threshold).select(*docs.columns)

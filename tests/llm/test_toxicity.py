@@ -86,6 +86,30 @@ def test_no_rows_no_labels(spark):
     assert {r["__score"] for r in tx.score_toxicity(frame(spark), none).collect()} == {0.5}
 
 
+def test_sample_is_of_these_documents(spark):
+    rows = documents()
+    ids = {r[0] for r in rows if r[0] is not None}
+    lab = spark.createDataFrame([(i, 1, 0) for i in sorted(ids) + list(range(10 ** 6, 10 ** 6 + 3000))], LABELS)
+    learnt = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
+    assert tx.fit_rows(frame(spark, rows), lab, "toxic", 200).count() == learnt
+    assert tx.fit_rows(frame(spark, rows), lab, "toxic", 20).count() == 20
+
+
+def test_sample_has_a_repeated_id_once(spark):
+    rows = [(1, "again", "en", "s", 5)] * 50 + [(1, None, "en", "s", 0), (3, "once", "en", "s", 4), (9, None, "en", "s", 0)]
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 3, 9))
+    lab = spark.createDataFrame([(1, 1, 1), (3, 1, 0), (9, 1, 0)], LABELS)
+    got = tx.fit_rows(frame(spark, rows), lab, "toxic").select("label", "text").collect()
+    assert sorted(map(tuple, got)) == [(0, ""), (0, "once"), (1, "again")]
+
+
+def test_nothing_is_dropped_without_a_label(spark):
+    df = frame(spark)
+    for lab in ([], [(10 ** 6 + i, 1, 1) for i in range(50)]):
+        out = tx.drop_toxic(df, spark.createDataFrame(lab, LABELS))
+        assert out.columns == df.columns and sorted(out.collect(), key=repr) == sorted(df.collect(), key=repr)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
