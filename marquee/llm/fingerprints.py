@@ -3,8 +3,9 @@
 A fingerprint keeps every distinct shingle hash below a fixed fraction of the
 hash space, so its size follows the document, the fingerprint of a union is
 the union of the fingerprints, and two documents of very unequal length can be
-compared by containment. A text whose shingles all lie above the threshold
-keeps its smallest hash, so that only texts without words have an empty one.
+compared by containment. A text whose shingles all lie above the threshold has
+an empty one; the smallest hash of every text stands in a column of its own
+(null: no words), which tells such a text from one without words.
 """
 
 from __future__ import annotations
@@ -23,40 +24,56 @@ BUCKET_ROWS, MAX_BUCKETS, FAN = 2000, 4096, 64
 
 def with_fingerprint(df: DataFrame, text: str, name: str, words: int = WORDS,
                      fraction: int = FRACTION) -> DataFrame:
-    """``df`` with ``name``: the sorted kept hashes (array<long>) of ``text``.
+    """``df`` with ``name``: the sorted kept hashes (array<long>) of ``text``,
+    and ``{name}_least``: its smallest hash, kept or not.
 
     Words are split at ASCII white space after lower-casing A-Z; fewer than
     ``words`` words form one shingle; null and wordless texts give an empty
-    array. Each step is its own column, so no shingle is hashed twice.
+    array and no smallest hash. Each step is its own column, so no shingle is
+    hashed twice.
     """
-    w, h, kept = f"__{name}_w", f"__{name}_h", f"__{name}_k"
+    w, h = f"__{name}_w", f"__{name}_h"
     low = -(1 << 63) + (1 << 64) // fraction
     gram = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))),
                        lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(words)]))
     return (df.withColumn(w, F.filter(F.split(ascii_lower(F.col(text)), "[ \\t-\\r]+"), lambda x: x != ""))
             .withColumn(h, F.when(F.size(w) > 0, gram).otherwise(F.array().cast("array<bigint>")))
-            .withColumn(kept, F.filter(h, lambda x: x < F.lit(low).cast("long")))
-            .withColumn(name, F.when((F.size(kept) == 0) & (F.size(h) > 0), F.array(F.array_min(h)))
-                        .otherwise(F.sort_array(F.array_distinct(kept))))
-            .drop(w, h, kept))
+            .withColumn(name, F.sort_array(F.array_distinct(F.filter(h, lambda x: x < F.lit(low).cast("long")))))
+            .withColumn(f"{name}_least", F.array_min(h))
+            .drop(w, h))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The fingerprint of two texts' shingles together."""
+    """The fingerprint of two texts' shingles together; its smallest hash is
+    the least of theirs."""
     return F.sort_array(F.array_union(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has (two empty
-    fingerprints: 1, one: 0)."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(F.size(a) == 0, 0.0).otherwise(both / F.size(a))
+def containment(a: Column, b: Column, least_a: Column | None = None, least_b: Column | None = None) -> Column:
+    """Estimated share of ``a``'s shingles that ``b`` has (two texts without
+    words: 1, one: 0).
 
-
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity (two empty fingerprints: 1, one: 0)."""
+    Where ``a`` has words but no kept hash, its smallest hash decides if
+    ``b``'s is not below it (alike: 1, else 0); if it is, or without the
+    smallest hashes, nothing is known of ``a``: null.
+    """
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    if least_a is None or least_b is None:
+        return F.when(F.size(a) > 0, share)
+    return (F.when(F.size(a) > 0, share)
+            .when(least_a.isNull() & least_b.isNull(), 1.0).when(least_a.isNull() | least_b.isNull(), 0.0)
+            .when(least_a == least_b, 1.0).when(least_a < least_b, 0.0))
+
+
+def resemblance(a: Column, b: Column, least_a: Column | None = None, least_b: Column | None = None) -> Column:
+    """Estimated Jaccard similarity (two texts without words: 1, one: 0). Where
+    neither has a kept hash the smallest hashes decide (alike: 1, else 0);
+    without them nothing is known: null."""
     every = F.size(F.array_union(a, b))
-    return F.when(every == 0, 1.0).otherwise((F.size(a) + F.size(b) - every) / every)
+    share = (F.size(a) + F.size(b) - every) / every
+    if least_a is None or least_b is None:
+        return F.when(every > 0, share)
+    return F.when(every > 0, share).otherwise(least_a.eqNullSafe(least_b).cast("double"))
 
 
 def as_text(hashes: Column) -> Column:
@@ -109,7 +126,8 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: int = FRACT
 
     Null text counts as empty. Ties of doc_id go by text; rows without an id
     come first. One row is its own next. Empty table: empty result. Other
-    columns are not read.
+    columns are not read. ``least`` and ``edited_least`` are the smallest
+    hashes; a containment that they leave open is null.
     """
     rows, w = with_next(docs)
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -118,12 +136,17 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: int = FRACT
                 F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
                 F.substring("next_text", F.lit(1), half))))
     rows = with_fingerprint(rows, "text", "own", words, fraction)
-    rows = rows.withColumn("next_own", F.lead("own").over(w)).where("flag = 0")
+    rows = (rows.withColumn("next_own", F.lead("own").over(w)).withColumn("next_least", F.lead("own_least").over(w))
+            .where("flag = 0"))
     rows = with_fingerprint(rows, "edited", "changed", words, fraction)
+    own, changed, follows = [(F.col(f), F.col(least)) for f, least in (
+        ("own", "own_least"), ("changed", "changed_least"), ("next_own", "next_least"))]
+
+    def compare(how, other):
+        return how(own[0], other[0], own[1], other[1])
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-        resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
-        resemblance(F.col("own"), F.col("next_own")).alias("near_next"),
-        containment(F.col("own"), F.col("changed")).alias("contained_edited"),
-        containment(F.col("own"), F.col("next_own")).alias("contained_next"))
+        as_text(own[0]).alias("fingerprint"), as_text(changed[0]).alias("edited_fingerprint"),
+        compare(resemblance, changed).alias("near_edited"), compare(resemblance, follows).alias("near_next"),
+        compare(containment, changed).alias("contained_edited"), compare(containment, follows).alias("contained_next"),
+        F.lower(F.hex(own[1])).alias("least"), F.lower(F.hex(changed[1])).alias("edited_least"))

@@ -57,6 +57,30 @@ def test_estimates_follow_the_truth(spark):
     assert len(r.fa) == len([1 for _ in r.fa]) and 800 < len(r.fa) < 1200
 
 
+def test_short_in_long_is_never_a_false_zero(spark):
+    import random
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(5000)]
+    rows = []
+    for k in range(120):
+        long = [rng.choice(words) for _ in range(400)]
+        rows.append((" ".join(long[50:55 + k % 4]), " ".join(long), " ".join(rng.choice(words) for _ in range(6))))
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for c in "abc":
+        df = fp.with_fingerprint(df, c, "f" + c)
+    got = df.select(
+        "fa", "fb", fp.containment(df["fa"], df["fb"], df["fa_least"], df["fb_least"]).alias("inside"),
+        fp.containment(df["fa"], df["fb"]).alias("alone"), fp.merge(df["fa"], df["fb"]).alias("m"),
+        fp.containment(df["fa"], df["fa"], df["fa_least"], df["fa_least"]).alias("self"),
+        fp.resemblance(df["fa"], df["fa"], df["fa_least"], df["fa_least"]).alias("same"),
+        fp.resemblance(df["fa"], df["fc"], df["fa_least"], df["fc_least"]).alias("other")).collect()
+    assert {r.inside for r in got} == {r.alone for r in got} == {1.0, None}
+    assert all((r.inside is None) == (r.fa == []) for r in got)
+    # The union's shingles are the long text's.
+    assert all(r.m == r.fb for r in got)
+    assert {r.self for r in got} == {r.same for r in got} == {1.0} and {r.other for r in got} == {0.0}
+
+
 def test_one_row_and_none(spark):
     assert fp.fingerprint_edits(spark.createDataFrame([], SCHEMA)).collect() == []
     r = fp.fingerprint_edits(frame(spark, [(5, "a b c d e f", None, None, None)])).first()
