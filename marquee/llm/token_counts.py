@@ -2,8 +2,8 @@
 
 Every document becomes its pre-token frequencies. Frequent pre-tokens (the
 head, a size-bounded broadcast) are counted where they stand; the others are
-shuffled by pre-token, counted once per distinct one there, joined to their
-frequencies and summed per document.
+shuffled by pre-token, looked up in the worker's bounded cache there (in place
+of a join; one that was evicted is counted again) and summed per document.
 """
 
 from __future__ import annotations
