@@ -112,8 +112,9 @@ class Block:
         magic, self.n_docs, self.n_ids, self.width, self.no_id, self.least, ne, nk = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token block")
-        at = _HEAD.size
-        self.edges, self.keys = data[at:at + ne], data[at + ne:at + ne + nk]
+        at, view = _HEAD.size, memoryview(data)
+        # Views: a select copies nothing, however many documents a block has.
+        self.edges, self.keys = view[at:at + ne], view[at + ne:at + ne + nk]
         self.ids = np.frombuffer(data, "<u2" if self.width == 2 else "<u4", self.n_ids, at + ne + nk)
 
     def bounds(self, i: int) -> tuple[int, int]:
@@ -186,11 +187,11 @@ def _read(batches):
         docs, starts, sizes, sums = [], [], [], []
         for base, data in zip(b.column("base").to_pylist(), b.column("data")):
             x = Block(data.as_py())
-            edges = ef_decode(x.edges).astype(np.int64)
             docs += x.doc_ids()
-            starts += (edges[:-1] + base).tolist()
-            sizes += np.diff(edges).tolist()
-            sums += [zlib.crc32(x.ids[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:])]
+            for lo, hi in map(x.bounds, range(x.n_docs)):
+                starts.append(lo + base)
+                sizes.append(hi - lo)
+                sums.append(zlib.crc32(x.ids[lo:hi].astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (docs, starts, sizes, sums)],
                                          names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -97,6 +98,20 @@ def test_files(spark, tmp_path, block):
         [i for r in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")) for i in [*ids(r[1]), 2]]
 
 
+def test_read_back_goes_by_select(monkeypatch):
+    sizes = [1 + (k * 37) % 11 for k in range(300)]
+    ends = np.cumsum(sizes).tolist()
+    data = tf.encode_block([None, *range(299)], ends, np.arange(ends[-1], dtype="<u2").tobytes(), 2)
+    asked, select = [], tf.ef_select
+    monkeypatch.setattr(tf, "ef_select", lambda d, i: asked.append(i) or select(d, i))
+    batch = pa.RecordBatch.from_arrays([pa.array([1000], pa.int64()), pa.array([data])], names=["base", "data"])
+    got = next(tf._read([batch])).to_pydict()
+    assert set(asked) == set(range(301))
+    assert got["doc_id"] == [None, *range(299)] and got["n_tokens"] == sizes
+    assert got["start"] == [1000 + e - n for e, n in zip(ends, sizes)]
+    assert got["ids_crc32"] == [zlib.crc32(np.arange(e - n, e, dtype="<u4").tobytes()) for e, n in zip(ends, sizes)]
+
+
 def test_no_rows(spark, tmp_path):
     tf.write_token_files(spark.createDataFrame([], SCHEMA), PATH, str(tmp_path / "t"))
     assert tf.read_token_files(spark, str(tmp_path / "t")).collect() == []
