@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marquee.llm import (chat_format, decontaminate, fingerprints, mixing,
-                         near_dedup, quality, secret_scan, token_counts,
+from marquee.llm import (chat_format, decontaminate, fingerprints, merkle,
+                         mixing, near_dedup, quality, secret_scan, token_counts,
                          token_files, toxicity)
-from marquee.llm.common import scratch_table, table
+from marquee.llm.common import ascii_lower, scratch_table, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -177,3 +177,62 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op13_merkle_manifest", """
+WITH RECURSIVE spelled AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+         -- crc32, bit by bit
+         list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::UBIGINT)),
+           lambda c, d: list_reduce(list_prepend(xor(c, d), list_transform(range(8), lambda k: 0::UBIGINT)),
+                                    lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 5 = 0
+              THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+              END AS changed
+  FROM spelled),
+placed AS (
+  SELECT row_number() OVER (ORDER BY g, doc_id NULLS FIRST, h) AS r, doc_id, g, h, changed,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM leaf),
+node AS (
+  SELECT 0 AS lvl, g, i, n, h FROM placed
+  UNION ALL
+  SELECT lvl + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lvl, g, i // 16, n),
+sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, i, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, i // 16, n),
+run AS (SELECT lvl, g, i // 16 AS b, string_agg(h, '' ORDER BY i) AS s FROM node WHERE n > 1 GROUP BY ALL),
+high_run AS (SELECT lvl, i // 16 AS b, string_agg(h, '' ORDER BY i) AS s FROM high WHERE n > 1 GROUP BY ALL),
+low_fold AS (
+  SELECT r, 0 AS lvl, g, i, n, coalesce(changed, h) AS f, '' AS p FROM placed
+  UNION ALL
+  SELECT r, lvl + 1, g, i // 16, (n + 15) // 16, sha256(substr(s, 1, (i % 16) * 64) || f || substr(s, (i % 16) * 64 + 65)),
+         p || substr(s, 1, (i % 16) * 64) || substr(s, (i % 16) * 64 + 65)
+  FROM low_fold JOIN (SELECT lvl AS l2, g AS g2, b, s FROM run) ON l2 = lvl AND g2 = g AND b = i // 16 WHERE n > 1),
+high_fold AS (
+  SELECT r, 0 AS lvl, sub.i, sub.n, f, p FROM low_fold JOIN sub USING (g) WHERE low_fold.n = 1
+  UNION ALL
+  SELECT r, lvl + 1, i // 16, (n + 15) // 16, sha256(substr(s, 1, (i % 16) * 64) || f || substr(s, (i % 16) * 64 + 65)),
+         p || substr(s, 1, (i % 16) * 64) || substr(s, (i % 16) * 64 + 65)
+  FROM high_fold JOIN (SELECT lvl AS l2, b, s FROM high_run) ON l2 = lvl AND b = i // 16 WHERE n > 1)
+SELECT doc_id, placed.h AS leaf, subroot, high.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = high.h AS verified
+FROM placed JOIN sub USING (g) JOIN high_fold USING (r) CROSS JOIN high WHERE high_fold.n = 1 AND high.n = 1
+""")
+def op13(spark, sf_dir):
+    """Manifest of all documents; a fifth of the rows is checked with a changed text."""
+    docs = table(spark, sf_dir, "documents")
+    low = F.when(F.col("text").isNotNull(), ascii_lower(F.col("text")))
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                     merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], low))
+    out = merkle.manifest(docs, carry={"changed": changed})
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
