@@ -4,6 +4,8 @@ components over an edge table."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -60,7 +62,27 @@ def free_worker() -> None:
     frees what another one left there (it is built again when needed)."""
     for drop in _KEPT:
         drop()
+    _trim()
+
+
+def _trim() -> None:
+    """Hand memory that nothing holds back to the system."""
     pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frees(run):
+    """A task's function that gives its memory back when the task ends: an
+    idle worker keeps its bounded caches only."""
+    @functools.wraps(run)
+    def task(*args):
+        try:
+            yield from run(*args)
+        finally:
+            _trim()
+    return task
 
 
 def ascii_lower(text):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marquee.llm import (chat_format, decontaminate, fingerprints, merkle,
-                         mixing, near_dedup, quality, secret_scan, token_counts,
+from marquee.llm import (bpe, chat_format, decontaminate, fingerprints,
+                         merkle, mixing, near_dedup, quality, secret_scan, token_counts,
                          token_files, toxicity)
 from marquee.llm.common import ascii_lower, scratch_table, table
 
@@ -236,3 +236,12 @@ def op13(spark, sf_dir):
     out = out.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
     return out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_bpe_codec")
+def op12(spark, sf_dir):
+    """All documents encoded by the trie, and decoded again."""
+    path = public_tokenizers.path(TOKENIZER)
+    out = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import steps
+from marquee.llm.common import frees, steps
 from marquee.llm.tokens import encoder
 from marquee.session import ship_package
 
@@ -35,16 +35,18 @@ def _pieces(path: str):
                     c.update(enc.parts(t))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["piece", "n"])
-    return run
+    return frees(run)
 
 
 def _counts(path: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            size = [len(enc[p]) // enc.width for p in b.column("piece").to_pylist()]
+            pieces = b.column("piece").to_pylist()
+            known = enc.lookup(set(pieces))
+            size = [len(known[p]) // enc.width for p in pieces]
             yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(size, pa.int64())], names=["piece", "size"])
-    return run
+    return frees(run)
 
 
 def _frequencies(path: str, head):
@@ -71,7 +73,7 @@ def _frequencies(path: str, head):
                     cols[4] += ["\x00%s %d" % (ids[i], hashes[i]), *rest]
                     cols[5] += [0, *rest.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-    return run
+    return frees(run)
 
 
 def _join_counts(path: str):
@@ -79,13 +81,14 @@ def _join_counts(path: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            n = b.column("n").to_pylist()
-            got = [k if not m else m * (len(enc[p]) // enc.width)
-                   for p, m, k in zip(b.column("piece").to_pylist(), n, b.column("known").to_pylist())]
+            n, pieces = b.column("n").to_pylist(), b.column("piece").to_pylist()
+            known = enc.lookup({p for p, m in zip(pieces, n) if m})
+            got = [k if not m else m * (len(known[p]) // enc.width)
+                   for p, m, k in zip(pieces, n, b.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), b.column("n_bytes"), pa.array(got, pa.int64())],
                 names=["doc_id", "text_hash", "n_bytes", "tokens"])
-    return run
+    return frees(run)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, head_docs: int = HEAD_DOCS) -> DataFrame:

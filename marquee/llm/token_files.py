@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.llm.common import frees, steps
 from marquee.llm.tokens import encoder
 from marquee.session import ship_package
 
@@ -146,19 +147,21 @@ def _write(path: str, end_id: int, block_ids: int):
                                                (len(docs), pa.int64()), (total, pa.int64()), (data, pa.binary()))],
                 names=["shard", "block", "before", "n_docs", "n_ids", "data"])
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                own = enc.ids(t.as_py()) + end
-                total += len(own) // enc.width
-                docs.append(d)
-                ids.append(own)
-                ends.append(total)
-                if total >= block_ids:
-                    yield close()
-                    before, block = before + total, block + 1
-                    docs, ends, ids, total = [], [], [], 0
+            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for lo, hi in steps(texts):
+                for d, own in zip(names[lo:hi], enc.encode(texts[lo:hi])):
+                    own += end
+                    total += len(own) // enc.width
+                    docs.append(d)
+                    ids.append(own)
+                    ends.append(total)
+                    if total >= block_ids:
+                        yield close()
+                        before, block = before + total, block + 1
+                        docs, ends, ids, total = [], [], [], 0
         if docs:
             yield close()
-    return run
+    return frees(run)
 
 
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
@@ -170,7 +173,8 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, blo
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges may part rows of one id by how their texts begin; the order is by whole texts.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_write(path, end_id, block_ids),
                     "shard int, block int, before long, n_docs long, n_ids long, data binary").write.parquet(f"{out}/blocks")
     # One row per shard, however many documents: the prefix sums fit the driver.
@@ -182,6 +186,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 2, blo
     spark.createDataFrame(base, "shard int, base long").coalesce(1).write.parquet(f"{out}/manifest")
 
 
+@frees
 def _read(batches):
     for b in batches:
         docs, starts, sizes, sums = [], [], [], []

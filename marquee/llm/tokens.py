@@ -3,30 +3,30 @@ done once per distinct pre-token that a task meets.
 
 A byte-level BPE never joins across a space that follows a non-space
 character, so a text may be cut before every such space and its parts encoded
-on their own. Parts are looked up in a bounded cache of the worker; a missing
-part goes through the library. Tokenizers of another kind get whole texts.
+on their own. The distinct parts of a step of texts are looked up in a cache of
+the worker, bounded in bytes; the missing ones go through the library together.
+Tokenizers of another kind get whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
+import numpy as np
+
 from marquee.llm.common import kept_by_worker
 
-#: Parts that a worker's cache holds before it starts anew.
-CACHE = 600_000
+#: Bytes of a worker's cache of parts, and of a part that is kept there.
+CACHE_BYTES, PART_BYTES = 96 << 20, 256
+#: Parts that go through the library at once.
+TOGETHER = 2_000
 
 _SPLIT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
-
-# The pre-token pattern of byte-level BPE, spelled out for the
-# characters below U+0250 (other parts are left to the library whole).
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PRE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_FAR = re.compile("[^\x00-ɏ]")
-
+_PLAIN = re.compile(r" ?\S+")
 
 def pretokens(text: str) -> list[str]:
     """``text`` cut before every space that follows a non-space."""
@@ -39,7 +39,7 @@ def pretokens(text: str) -> list[str]:
     return parts
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """Byte to letter of byte-level BPE: printable Latin-1 stands for itself,
     the other bytes follow from U+0100 in order."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,63 +47,127 @@ def _byte_letters() -> dict[int, int]:
     return {**{b: b for b in own}, **{b: 256 + i for i, b in enumerate(rest)}}
 
 
-class Encoder(dict):
-    """``encoder[part]`` is the part's ids as packed little integers."""
+class Cache:
+    """Values by key within ``limit`` bytes, as two generations: what is not
+    asked for during a whole generation goes with it."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.half, self.held = limit // 2, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.pop(key, None)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        size = len(key) + len(value)
+        if size > PART_BYTES:
+            return
+        self.held += size + 190
+        if self.held > self.half:
+            self.old, self.new, self.held = self.new, {}, size + 190
+        self.new[key] = value
+
+
+class Parts:
+    """Texts to packed little ids by their parts; ``resolve`` gives the ids of
+    parts that the cache does not know."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.byte_level = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                            and not pre.get("add_prefix_space") and spec.get("normalizer") is None
                            and spec["model"].get("type", "BPE") == "BPE")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.byte_level &= not any(" " in s for s in self.special)
-        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        added = spec.get("added_tokens", [])
+        self.special = [t["content"] for t in added]
+        self.byte_level &= not any(" " in t["content"] or "\n" in t["content"] or t.get("lstrip") or t.get("rstrip")
+                                   or t.get("single_word") for t in added)
+        self.code = "H" if len(spec["model"].get("vocab", ())) + len(added) <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
-        self._letters = _byte_letters()
-        self._pieces: dict[str, bytes] = {}
+        self.cache = Cache()
 
     def parts(self, text: str) -> list[str]:
         return pretokens(text) if self.byte_level else [text]
 
+    def lookup(self, parts) -> dict[str, bytes]:
+        """The packed ids of each of the distinct ``parts``."""
+        known, missing, get = {}, [], self.cache.get
+        for p in parts:
+            value = get(p)
+            if value is None:
+                missing.append(p)
+            else:
+                known[p] = value
+        for p, value in zip(missing, self.resolve(missing)):
+            known[p] = value
+            self.cache.put(p, value)
+        return known
+
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.parts(text)))
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        if self.byte_level and not _FAR.search(part) and not any(s in part for s in self.special):
-            out = b"".join(map(self._piece, _PRE.findall(part)))
-        else:
-            out = array(self.code, self.library.encode(part, add_special_tokens=False).ids).tobytes()
-        self[part] = out
-        return out
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.parts, texts))
+        known = self.lookup(set().union(*split)).__getitem__
+        return [b"".join(map(known, own)) for own in split]
+
+    def resolve(self, parts: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
 
-    def _piece(self, piece: str) -> bytes:
-        out = self._pieces.get(piece)
-        if out is None:
-            if len(self._pieces) >= CACHE:
-                self._pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(self._letters)
-            out = array(self.code, [t.id for t in self.library.model.tokenize(letters)]).tobytes()
-            self._pieces[piece] = out
+class Encoder(Parts):
+    """Ids by the library. Parts without white space inside go through it many
+    at once, a line each; a line's end is a token of its own there."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
+        from tokenizers import Tokenizer
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        end = self._raw("\n")
+        self.line_end = end[0] if self.byte_level and len(end) == 1 else None
+
+    def _raw(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def resolve(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(parts)
+        plain = []
+        for i, p in enumerate(parts):
+            if self.line_end is not None and _PLAIN.fullmatch(p):
+                plain.append(i)
+            else:
+                out[i] = array(self.code, self._raw(p)).tobytes()
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo:lo + TOGETHER]
+            ids = np.array(self._raw("\n".join([parts[i] for i in some]) + "\n"), dtype=f"<u{self.width}")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(some):
+                raise ValueError("a part holds a line end")
+            packed, at = ids.tobytes(), 0
+            for i, end in zip(some, (ends * self.width).tolist()):
+                out[i] = packed[at:end]
+                at = end + self.width
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Parts] = {}
 kept_by_worker(_ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: type[Parts] = Encoder) -> Parts:
     """The worker's encoder of a tokenizer file. It keeps many small objects
     for long, so the collector's generations are frozen."""
-    if path not in _ENCODERS:
+    if (kind, path) not in _ENCODERS:
         import gc
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[kind, path] = kind(path)
         gc.freeze()
         gc.set_threshold(200_000, 50, 100)
-    return _ENCODERS[path]
+    return _ENCODERS[kind, path]

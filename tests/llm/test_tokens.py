@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from marquee.llm import token_files as tf
 from marquee.llm.token_counts import count_tokens
-from marquee.llm.tokens import Encoder, encoder
+from marquee.llm.tokens import Cache, Encoder, encoder
 from tests.llm.fixtures import SCHEMA, documents, frame, with_clashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,11 +33,25 @@ def test_parts_give_the_librarys_ids():
 def test_every_character_alone_and_in_company():
     enc = Encoder(PATH)
     for a in (0, 0x2000, 0x1F600):
-        for c in map(chr, range(a, a + 0x250)):
-            if 0xD800 <= ord(c) < 0xE000:
-                continue
-            for t in (c, f"a{c}b {c} 1{c}", f"x {c}{c}  {c}\n", f"{c} a", f"'s{c}'re {c}!"):
-                assert np.frombuffer(enc.ids(t), np.uint16).tolist() == ids(t), t
+        said = [t for c in map(chr, range(a, a + 0x250))
+                for t in (c, f"a{c}b {c} 1{c}", f"x {c}{c}  {c}\n", f"{c} a", f"'s{c}'re {c}!")]
+        for t, got in zip(said, enc.encode(said)):
+            assert np.frombuffer(got, np.uint16).tolist() == ids(t), t
+
+
+def test_the_cache_is_bounded_in_bytes():
+    cache = Cache(100_000)
+    for i in range(5000):
+        cache.put(f"key{i}", b"12")
+        cache.put("often", b"34")
+        assert cache.get("often") == b"34"
+    assert cache.held <= 50_000 and len(cache.new) + len(cache.old) < 600
+    cache.put("x" * 1000, b"12")
+    assert cache.get("x" * 1000) is None and cache.get("key0") is None
+    enc = Encoder(PATH)
+    enc.cache = Cache(20_000)
+    texts = [r[1] or "" for r in documents()] + ["字" * 15_000, "word" * 9_000]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in enc.encode(texts)] == [ids(t) for t in texts]
 
 
 @given(st.lists(st.sampled_from(["a", "Bc", " ", "  ", "\n", "\t", "'s", "!", "9", "é", "\xa0", "<|endoftext|>", "中"]), max_size=14))
