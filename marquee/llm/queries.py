@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marquee.llm import (bpe, chat_format, decontaminate, fingerprints,
-                         merkle, mixing, near_dedup, quality, secret_scan, token_counts,
+from marquee.llm import (bpe, chat_format, decontaminate, divergence,
+                         fingerprints, merkle, mixing, near_dedup, quality, secret_scan, token_counts,
                          token_files, toxicity)
 from marquee.llm.common import ascii_lower, scratch_table, table
 
@@ -238,6 +238,41 @@ def op13(spark, sf_dir):
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query("op11_source_divergence", """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+said AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS total FROM said GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+many AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS source_n
+  FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+share AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // CAST(source_n + 2 * v AS HUGEINT) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (total + 2) // CAST(lang_n + 2 * v AS HUGEINT) AS q
+  FROM grp JOIN many USING (lang) JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+cost AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN cost ON cost.lang = a.lang AND cost.source = a.source AND cost.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM share WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM part)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""")
+def op11(spark, sf_dir):
+    """Sources of all documents against each other and against their language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query("op12_bpe_codec")
 def op12(spark, sf_dir):
     """All documents encoded by the trie, and decoded again."""
