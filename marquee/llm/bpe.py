@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import frees, kept_by_worker, steps
-from marquee.llm.tokens import Parts, byte_letters, encoder
+from marquee.llm.tokens import Parts, byte_letters, encoder, pretokens
 from marquee.session import ship_package
 
 #: Verdicts on token pairs that a worker keeps (a number each) before it
@@ -38,27 +38,49 @@ _PRE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+
 _FAR = re.compile("[^\x00-ɏ]")
 
 
+def _plain(path: str) -> dict:
+    """The tokenizer file, if it is a plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if spec["model"].get("type") != "BPE" or spec.get("normalizer") or any(map(spec["model"].get, odd)):
+        raise ValueError(f"{path} is not a plain byte-level BPE")
+    return spec
+
+
+def _special(spec: dict) -> dict[int, bytes]:
+    return {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """What each id of a tokenizer file stands for."""
+    spec = _plain(path)
+    back = {letter: b for b, letter in byte_letters().items()}
+    vocab, special = spec["model"]["vocab"], _special(spec)
+    out = [b""] * (1 + max([*vocab.values(), *special]))
+    for letters, i in vocab.items():
+        if i not in special:
+            out[i] = bytes(back[ord(c)] for c in letters)
+    for i, said in special.items():
+        out[i] = said
+    return out
+
+
+def decode(said_by: list[bytes], ids) -> str:
+    return b"".join(map(said_by.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Bpe:
     """The tokens, merges and pair verdicts of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _plain(path)
         model = spec["model"]
-        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
-        if model.get("type") != "BPE" or spec.get("normalizer") or odd:
-            raise ValueError(f"{path} is not a plain byte-level BPE")
-        back = {letter: b for b, letter in byte_letters().items()}
         vocab = model["vocab"]
-        self.special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        self.special = _special(spec)
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError(f"{path} has added tokens that take in white space or words")
-        self.bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special]))
-        for letters, i in vocab.items():
-            if i not in self.special:
-                self.bytes[i] = bytes(back[ord(c)] for c in letters)
-        for i, said in self.special.items():
-            self.bytes[i] = said
+        self.bytes = token_bytes(path)
         # A merge: its rank and the token it makes; a token: the merge it is from.
         self.merge: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {}
@@ -166,49 +188,49 @@ class Bpe:
             before = w
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class TrieEncoder(Parts):
-    """Ids by the trie. Special strings inside texts are their own tokens, as
-    the library's default has it; its pre-tokenizer cuts what lies beyond the
-    characters of the pattern above."""
+    """Ids by the trie; the parts of a text are its pre-tokens. Special strings
+    inside texts are their own tokens, as the library's default has it; its
+    pre-tokenizer cuts what lies beyond the characters of the pattern above."""
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
         super().__init__(path)
         self.bpe = Bpe(path)
         self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.back = {letter: b for b, letter in byte_letters().items()}
-        ids = {said.decode(): i for i, said in self.bpe.special.items()}
-        self.special_ids = ids
-        names = sorted(ids, key=len, reverse=True)
+        self.special_ids = {said.decode(): i for i, said in self.bpe.special.items()}
+        names = sorted(self.special_ids, key=len, reverse=True)
         self.special_re = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def words(self, part: str) -> list:
-        """The pre-tokens of a part as bytes, its special strings as ids."""
-        out: list = []
-        pieces = self.special_re.split(part) if self.special_re else [part]
-        for i, piece in enumerate(pieces):
-            if i % 2:
-                out.append(self.special_ids[piece])
-            elif _FAR.search(piece):
-                out += [bytes([self.back[ord(c)] for c in letters]) for letters, _ in self.cut(piece)]
+    def parts(self, text: str) -> list[str]:
+        if self.special_re and self.special_re.search(text):
+            out = []
+            for i, piece in enumerate(self.special_re.split(text)):
+                out += [piece] if i % 2 else self._words(piece)
+            return out
+        return self._words(text)
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not _FAR.search(text):
+            return _PRE.findall(text)
+        out = []
+        for part in pretokens(text):
+            if _FAR.search(part):
+                out += [part[a:b] for _, (a, b) in self.cut(part)]
             else:
-                out += [w.encode() for w in _PRE.findall(piece)]
+                out += _PRE.findall(part)
         return out
 
     def resolve(self, parts: list[str]) -> list[bytes]:
-        split = list(map(self.words, parts))
-        words = list({w for own in split for w in own if isinstance(w, bytes)})
-        known: dict = dict(zip(words, self.bpe.encode_words(words)))
-        known.update((i, [i]) for i in self.bpe.special)
-        return [array(self.code, [i for w in own for i in known[w]]).tobytes() for own in split]
+        special = self.special_ids
+        ids = self.bpe.encode_words([b"" if p in special else p.encode() for p in parts])
+        return [array(self.code, [special[p]] if p in special else own).tobytes() for p, own in zip(parts, ids)]
 
 
-_MODELS: dict[str, Bpe] = {}
-kept_by_worker(_MODELS.clear)
+_BYTES: dict[str, list[bytes]] = {}
+kept_by_worker(_BYTES.clear)
 
 
 @frees
@@ -224,15 +246,15 @@ def _encode(batches, path: str):
 
 @frees
 def _decode(batches, path: str, name: str):
-    if path not in _MODELS:
-        _MODELS[path] = Bpe(path)
-    decode = _MODELS[path].decode
+    if path not in _BYTES:
+        _BYTES[path] = token_bytes(path)
+    said_by = _BYTES[path]
     for b in batches:
         column = b.column("ids")
         lo = 0
         # A step holds about as many ids as one of texts holds characters.
         for hi in _cuts(column):
-            said = [decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in column.slice(lo, hi - lo)]
+            said = [decode(said_by, np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in column.slice(lo, hi - lo)]
             rows = b.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string())], names=[*b.schema.names, name])
             lo = hi

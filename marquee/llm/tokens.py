@@ -32,11 +32,9 @@ def pretokens(text: str) -> list[str]:
     """``text`` cut before every space that follows a non-space."""
     if not text:
         return []
-    if _ODD.search(text):
+    if "\0" in text or _ODD.search(text):
         return _SPLIT.split(text)
-    parts = text.split(" ")
-    parts[1:] = [" " + p for p in parts[1:]]
-    return parts
+    return text.replace(" ", "\0 ").split("\0")
 
 
 def byte_letters() -> dict[int, int]:

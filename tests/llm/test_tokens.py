@@ -17,7 +17,8 @@ from tests.llm.fixtures import SCHEMA, documents, frame, with_clashes
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
 ODD = ["a  b", "a \n b\n  c \t d  ", " x", "x ", "  ", "\n \n", "it's we'll 'tis <|endoftext|> end<|endoftext|>\n <|endoftext|>",
-       "1234 5²x ½", "中文 字 😀 a  b  c", "\x1c a\x1c  b", "...!!! ?", "<|endof text|>", "\x85 \x85", "ǅ ɐ ɏ"]
+       "1234 5²x ½", "中文 字 😀 a  b  c", "\x1c a\x1c  b", "...!!! ?", "<|endof text|>", "\x85 \x85", "ǅ ɐ ɏ",
+       "nul\0 in \0it", "\0"]
 
 
 def ids(text):
