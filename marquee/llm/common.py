@@ -39,6 +39,16 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
 
 
+def aside(docs: DataFrame, *own: str):
+    """``docs`` with all columns but ``own`` under names that no operator uses,
+    and the function that gives rows of it their columns back."""
+    names = [c if c in own else f"aside_{i}" for i, c in enumerate(docs.columns)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return docs.toDF(*names), back
+
+
 def stored(df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: the lineage
     is cut there, and a lost executor costs a re-read, not a re-run. A task

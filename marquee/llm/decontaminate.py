@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marquee.llm.common import free_worker, stored
+from marquee.llm.common import aside, free_worker, frees, stored
 from marquee.session import ship_package
 
 WINDOW = 10
@@ -98,7 +99,7 @@ def _scan(keys, first: bool):
                    "__hit_chars": pa.array(chars, pair), "__items": pa.array(items, pa.list_(pa.string()))}
             names = [n for n in b.schema.names if n not in new]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names=names + list(new))
-    return run
+    return frees(run)
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
@@ -106,8 +107,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """``docs`` with ``__n_words``, ``__hit_words`` (merged word ranges inside
     any occurrence of a window), ``__hit_chars`` (the same as code point
     offsets of the text) and ``__items`` (ids with an occurring window, sorted
-    as strings). Null texts have no words. Input columns stay; rows stay as
-    many. An empty benchmark marks nothing.
+    as strings). Null texts have no words. Input columns stay, but those four
+    are replaced; rows stay as many. An empty benchmark marks nothing.
 
     The benchmark's size is checked: up to ``max_item_chars`` it is one
     automaton, broadcast; a larger one is dealt into parts by item, scanned
@@ -119,14 +120,14 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // max_item_chars))
     dealt = items.withColumn("__part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    kinds = "__n_words long, __hit_words array<struct<lo:bigint,hi:bigint>>, " \
-            "__hit_chars array<struct<lo:bigint,hi:bigint>>, __items array<string>"
-    out = docs.withColumn("text", F.col("text").cast("string"))
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    spans = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
+    own = {"__n_words": T.LongType(), "__hit_words": spans, "__hit_chars": spans, "__items": T.ArrayType(T.StringType())}
+    out = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*out.schema.fields, *[T.StructField(n, k) for n, k in own.items()]])
     for p in range(parts):
         rows = [(r[0], r[1]) for r in dealt.where(F.col("__part") == p).select("item_id", "text").collect()]
         keys = spark.sparkContext.broadcast(window_items(rows, window))
-        out = out.mapInArrow(_scan(keys, p == 0), f"{base}, {kinds}")
+        out = out.mapInArrow(_scan(keys, p == 0), schema)
         if p + 1 < parts:
             out = stored(out, "decontaminate")
     return out
@@ -138,7 +139,8 @@ def n_hit(marked: DataFrame):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark."""
-    return mark_contaminated(docs, benchmark, window).where(F.size("__hit_words") == 0).select(*docs.columns)
+    rows, back = aside(docs, "text")
+    return back(mark_contaminated(rows, benchmark, window).where(F.size("__hit_words") == 0))
 
 
 def items_digest(ids: list[str]) -> str:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.common import aside
 from marquee.session import ship_package
 
 #: Weights of the sources in code point order (null last), repeating, and the
@@ -100,9 +101,13 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: i
     copies), ``__cuts`` (word ranges ``struct<lo, hi>`` taken besides) and
     ``__taken``. Input columns stay as they are; ``source`` and ``text`` may be
     null (null text: no words, never taken); repeated rows count each; equal
-    order keys are equal rows, so reruns agree. Empty table: empty result."""
+    order keys are equal rows, so reruns agree. Empty table: empty result.
+    Columns of ``docs`` named as those six are replaced."""
     ship_package(docs.sparkSession)
-    sized = (docs.withColumn("__src", F.col("source").cast("string"))
+    own = ["__size", "__source_size", "__target", "__passes", "__cuts", "__taken"]
+    docs = docs.drop(*own)
+    rows, _ = aside(docs, "doc_id", "text", "source")
+    sized = (rows.withColumn("__src", F.col("source").cast("string"))
              .withColumn("__size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
              .withColumn("__rank", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string"))))
     plan = mix_plan(sized, weights, block)
@@ -137,14 +142,15 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: i
                                             F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
            .withColumn("__taken", F.col("__passes") * F.col("__size") + F.aggregate(
                "__cuts", F.lit(0).cast("long"), lambda s, c: s + c["hi"] - c["lo"])))
-    return out.select(*docs.columns, "__size", "__source_size", "__target", "__passes", "__cuts", "__taken")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(rows.columns, docs.columns)], *own)
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per whole copy and
     one per cut (its words joined by a space; ``n_chars``, if there, follows).
     Texts without words have nothing to take and are not in it."""
-    plan = plan_mix(docs, weights, block, seed).where("__size > 0")
+    rows, back = aside(docs, "doc_id", "text", "source", "n_chars")
+    plan = plan_mix(rows, weights, block, seed).where("__size > 0")
     words = F.filter(F.split(F.col("text"), "[ \\t-\\r]+"), lambda w: w != "")
     whole = F.array_repeat(F.struct(F.col("text").alias("t"), F.lit(False).alias("cut")), F.col("__passes").cast("int"))
     parts = F.transform("__cuts", lambda c: F.when(
@@ -155,4 +161,4 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS,
     fresh = {"text": F.col("__copy.t")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("__copy.cut"), F.length("__copy.t").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return back(out.select(*[fresh.get(c, F.col(c)).alias(c) for c in rows.columns]))

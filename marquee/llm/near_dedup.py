@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import (connected_components, free_worker, gram_hashes,
-                                hash_words, mix, steps, stored)
+from marquee.llm.common import (aside, connected_components, free_worker, frees,
+                                gram_hashes, hash_words, mix, steps, stored)
 
 #: MinHash coordinates, and standard deviations below the mean at which the
 #: match threshold lies.
@@ -108,7 +108,7 @@ def _profile(n: int, k: int):
                 [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "n_shingles", "cls", "keys"])
-    return run
+    return frees(run)
 
 
 def _sets(n: int, k: int):
@@ -131,7 +131,7 @@ def _sets(n: int, k: int):
                  pa.array([rows["is_hub"][i] for i in keep], pa.bool_()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
                 names=["cls", "cluster", "blocks", "is_hub", "keys", "shingles"])
-    return run
+    return frees(run)
 
 
 def _roots(adj: np.ndarray) -> np.ndarray:
@@ -287,6 +287,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
         base.withColumn("text_hash", F.xxhash64("text"))
         .join(chosen, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
         .select("text", "cls", "cluster", "blocks", "is_hub")
+        # Equal rows all met the class: one of them, reduced before the shuffle.
+        .dropDuplicates(["cls"])
         .mapInArrow(_sets(words, k), "cls binary, cluster long, blocks long, is_hub boolean, "
                                      "keys array<long>, shingles array<long>"), "sets", 16)
     zero = F.lit(0).cast("long")
@@ -333,7 +335,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     groups = near_duplicates(docs, words, percent)
     stay = groups.where("stays").select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash"))
     one = stay.distinct()
-    out = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    rows, back = aside(docs, "doc_id", "text")
+    out = rows.withColumn("own_hash", F.xxhash64(F.col("text").cast("string")))
     out = out.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc"))
-                   & (F.col("__hash") == F.col("k_hash")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+                   & (F.col("own_hash") == F.col("k_hash")), "left_semi")
+    return back(out.dropDuplicates(["doc_id", "own_hash"]))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marquee.llm.common import free_worker, gram_hashes, hash_words, mix, steps
+from marquee.llm.common import aside, free_worker, frees, gram_hashes, hash_words, mix, steps
 from marquee.session import ship_package
 
 BITS = 22
@@ -75,6 +76,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, alpha
     return float(every[-1]), every[:-1]
 
 
+@frees
 def _features(batches):
     free_worker()
     for b in batches:
@@ -84,6 +86,7 @@ def _features(batches):
                                          names=["place", "label", "slots"])
 
 
+@frees
 def _fit(batches):
     """One task: the sample's rows, in the order of their hash."""
     got = [(p, y, np.asarray(x.values, np.int32)) for b in batches
@@ -157,21 +160,22 @@ def _score(model):
                 total = bias + float(table[np.unique(x)].sum(dtype=np.float64))
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "__score"])
-    return run
+    return frees(run)
 
 
 def _scored(docs: DataFrame, model) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_score(model), f"{kinds}, __score double")
+    return rows.mapInArrow(_score(model), T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
     """``docs`` with ``__score`` (0 to 1, higher: likelier toxic). Only texts
     are inputs of a score; null counts as empty and scores by the bias.
     Repeated rows score alike; an empty table gives an empty result; where no
-    label could be learned every score is one half."""
+    label could be learned every score is one half. A column ``__score`` of
+    ``docs`` is replaced."""
+    docs = docs.drop("__score")
     return _scored(docs, fit_toxicity(docs, labels, "toxic", limit))
 
 
@@ -181,4 +185,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = _fitted(docs, labels, "toxic", FIT_ROWS)
     if model is None:
         return docs
-    return _scored(docs, model).where(F.col("__score") < threshold).select(*docs.columns)
+    rows, back = aside(docs, "text")
+    return back(_scored(rows, model).where(F.col("__score") < threshold))

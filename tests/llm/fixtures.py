@@ -40,10 +40,18 @@ def frame(spark, rows=None):
     return spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
 
 
+#: Names that operators give their own columns while they work.
+CLASHES = ("row", "hash", "idx", "n", "g_key", "path", "top", "leaf", "term", "total", "docs", "piece", "before", "data",
+           "k_doc", "k_hash", "own_hash", "c_doc", "c_hash", "cluster", "blocks", "is_hub", "text_hash", "place", "label",
+           "l_doc", "aside_0", "aside_7", "__hash", "__src", "__rank", "__p_src", "__blocks", "__shards", "__shard",
+           "__supply", "__quota", "__q_src", "__q_shard", "__q_key", "__more", "__from", "__key", "__hi", "__copy", "__part")
+#: Names of the columns that marking functions add.
+ADDED = ("__score", "__n_words", "__hit_words", "__hit_chars", "__items", "__size", "__source_size", "__target",
+         "__passes", "__cuts", "__taken")
+
+
 def with_clashes(df):
     """Extra columns whose names operators use inside."""
     from pyspark.sql import functions as F
-    out = df
-    for c in ("node", "key", "size", "score", "start", "n_tokens", "kept", "cls", "bucket", "target", "taken"):
-        out = out.withColumn(c, F.lit("x"))
-    return out
+    own = ("node", "key", "size", "score", "start", "n_tokens", "kept", "cls", "bucket", "target", "taken")
+    return df.select("*", *[F.lit("x").alias(c) for c in own + CLASHES])
