@@ -15,7 +15,6 @@ distinct ones that it does not know yet, and looks the ids of its texts up.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 
 import numpy as np
@@ -24,19 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import frees, kept_by_worker, steps
-from marquee.llm.tokens import Parts, byte_letters, encoder, pretokens
+from marquee.llm.tokens import Parts, byte_letters, encoder
 from marquee.session import ship_package
 
 #: Verdicts on token pairs that a worker keeps (a number each) before it
 #: starts anew.
 PAIRS = 400_000
 
-# The pre-token pattern of byte-level BPE, spelled out for the
-# characters below U+0250 (other parts are left to the library whole).
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PRE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_FAR = re.compile("[^\x00-ɏ]")
-
 
 def _plain(path: str) -> dict:
     """The tokenizer file, if it is a plain byte-level BPE."""
@@ -191,37 +184,13 @@ class Bpe:
 
 
 class TrieEncoder(Parts):
-    """Ids by the trie; the parts of a text are its pre-tokens. Special strings
-    inside texts are their own tokens, as the library's default has it; its
-    pre-tokenizer cuts what lies beyond the characters of the pattern above."""
+    """Ids by the trie; special strings inside texts are their own tokens, as
+    the library's default has it."""
 
     def __init__(self, path: str):
-        from tokenizers.pre_tokenizers import ByteLevel
         super().__init__(path)
         self.bpe = Bpe(path)
-        self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.special_ids = {said.decode(): i for i, said in self.bpe.special.items()}
-        names = sorted(self.special_ids, key=len, reverse=True)
-        self.special_re = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-
-    def parts(self, text: str) -> list[str]:
-        if self.special_re and self.special_re.search(text):
-            out = []
-            for i, piece in enumerate(self.special_re.split(text)):
-                out += [piece] if i % 2 else self._words(piece)
-            return out
-        return self._words(text)
-
-    def _words(self, text: str) -> list[str]:
-        if text.isascii() or not _FAR.search(text):
-            return _PRE.findall(text)
-        out = []
-        for part in pretokens(text):
-            if _FAR.search(part):
-                out += [part[a:b] for _, (a, b) in self.cut(part)]
-            else:
-                out += _PRE.findall(part)
-        return out
 
     def resolve(self, parts: list[str]) -> list[bytes]:
         special = self.special_ids

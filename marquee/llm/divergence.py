@@ -27,6 +27,8 @@ from marquee.session import ship_package
 LEAST_DOCS, SCALE, TOP = 10, 10 ** 9, 10
 #: Terms of a bucket and sources of a block, on average.
 BUCKET_TERMS, BLOCK_SOURCES = 2048, 128
+#: Parts that a language's terms are dealt into for a join by language.
+SALTS = 64
 
 # Bytes of a term: ASCII letters in lower case, and all that is not ASCII.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -201,7 +203,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     groups = stored(groups, "groups")
     none = F.lit(None).cast("long")
     bucket = F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int")
-    dealt = (kept.where("first").select("lang", "term").join(langs.select("lang", "buckets"), "lang")
+    # Salted: one language may have most of the terms.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = (kept.where("first").select("lang", "term", F.pmod(F.xxhash64(F.lit(3), "term"), F.lit(SALTS)).cast("int").alias("salt"))
+             .join(langs.select("lang", "buckets", salts), ["lang", "salt"])
              .groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("in_bucket")))
     heads = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), none.alias("n"), none.alias("total"),
                           "source_n", "terms", "lang_n", "block", "blocks",

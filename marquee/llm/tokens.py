@@ -1,10 +1,9 @@
 """Token ids by a tokenizer file of the ``tokenizers`` library, with the work
 done once per distinct pre-token that a task meets.
 
-A byte-level BPE never joins across a space that follows a non-space
-character, so a text may be cut before every such space and its parts encoded
-on their own. The distinct parts of a step of texts are looked up in a cache of
-the worker, bounded in bytes; the missing ones go through the library together.
+A byte-level BPE never joins across pre-tokens, so these are encoded on their
+own. The distinct ones of a step of texts are looked up in a cache of the
+worker, bounded in bytes; the missing ones go through the library together.
 Tokenizers of another kind get whole texts.
 """
 
@@ -20,14 +19,22 @@ import numpy as np
 from marquee.llm.common import kept_by_worker
 
 #: Bytes of a worker's cache of parts, and of a part that is kept there.
-CACHE_BYTES, PART_BYTES = 96 << 20, 256
+CACHE_BYTES, PART_BYTES = 128 << 20, 256
+#: What Python adds to the bytes of a key and its value.
+ENTRY_BYTES = 190
 #: Parts that go through the library at once.
-TOGETHER = 2_000
+TOGETHER = 500
 
 _SPLIT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
 _PLAIN = re.compile(r" ?\S+")
 
+# The pre-token pattern of byte-level BPE, spelled out for the
+# characters below U+0250 (the library cuts parts with others).
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PRE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_FAR = re.compile("[^\x00-ɏ]")
+
 def pretokens(text: str) -> list[str]:
     """``text`` cut before every space that follows a non-space."""
     if not text:
@@ -46,30 +53,43 @@ def byte_letters() -> dict[int, int]:
 
 
 class Cache:
-    """Values by key within ``limit`` bytes, as two generations: what is not
-    asked for during a whole generation goes with it."""
+    """Values by key within about ``limit`` bytes, as two generations: what is
+    not asked for during a whole generation goes with it. ``new`` holds all
+    keys of the last step, long ones too, until the next one settles it."""
 
     def __init__(self, limit: int = CACHE_BYTES):
         self.half, self.held = limit // 2, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
-    def get(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None:
-            value = self.old.pop(key, None)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        size = len(key) + len(value)
-        if size > PART_BYTES:
-            return
-        self.held += size + 190
+    def settle(self) -> None:
+        for key in self.long:
+            del self.new[key]
+        self.long = []
         if self.held > self.half:
-            self.old, self.new, self.held = self.new, {}, size + 190
-        self.new[key] = value
+            self.old, self.new, self.held = self.new, {}, 0
+
+    def missing(self, keys) -> list[str]:
+        """The distinct ``keys`` that are in no generation; those of the old
+        one move to the new one."""
+        new, old = self.new, self.old
+        out = [k for k in keys if k not in new]
+        if old:
+            known = [k for k in out if k in old]
+            self.add(known, map(old.pop, known))
+            out = [k for k in out if k not in new]
+        return out
+
+    def add(self, keys: list[str], values) -> None:
+        new = self.new
+        for key, value in zip(keys, values):
+            new[key] = value
+            size = len(key) + len(value)
+            if size > PART_BYTES:
+                self.long.append(key)
+            else:
+                self.held += size + ENTRY_BYTES
 
 
 class Parts:
@@ -84,29 +104,46 @@ class Parts:
                            and not pre.get("add_prefix_space") and spec.get("normalizer") is None
                            and spec["model"].get("type", "BPE") == "BPE")
         added = spec.get("added_tokens", [])
-        self.special = [t["content"] for t in added]
-        self.byte_level &= not any(" " in t["content"] or "\n" in t["content"] or t.get("lstrip") or t.get("rstrip")
+        self.byte_level &= not any("\n" in t["content"] or t.get("lstrip") or t.get("rstrip")
                                    or t.get("single_word") for t in added)
+        names = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special_re = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        if self.byte_level:
+            from tokenizers.pre_tokenizers import ByteLevel
+            self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.code = "H" if len(spec["model"].get("vocab", ())) + len(added) <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.cache = Cache()
 
     def parts(self, text: str) -> list[str]:
-        return pretokens(text) if self.byte_level else [text]
+        """The pre-tokens of a text and its special strings, in order."""
+        if not self.byte_level:
+            return [text]
+        if self.special_re and self.special_re.search(text):
+            out = []
+            for i, piece in enumerate(self.special_re.split(text)):
+                out += [piece] if i % 2 else self._words(piece)
+            return out
+        return self._words(text)
+
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not _FAR.search(text):
+            return _PRE.findall(text)
+        out = []
+        for part in pretokens(text):
+            if _FAR.search(part):
+                out += [part[a:b] for _, (a, b) in self.cut(part)]
+            else:
+                out += _PRE.findall(part)
+        return out
 
     def lookup(self, parts) -> dict[str, bytes]:
-        """The packed ids of each of the distinct ``parts``."""
-        known, missing, get = {}, [], self.cache.get
-        for p in parts:
-            value = get(p)
-            if value is None:
-                missing.append(p)
-            else:
-                known[p] = value
-        for p, value in zip(missing, self.resolve(missing)):
-            known[p] = value
-            self.cache.put(p, value)
-        return known
+        """A dictionary with the packed ids of each of the distinct ``parts``."""
+        cache = self.cache
+        cache.settle()
+        missing = cache.missing(parts)
+        cache.add(missing, self.resolve(missing))
+        return cache.new
 
     def ids(self, text: str) -> bytes:
         return self.encode([text])[0]

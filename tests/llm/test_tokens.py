@@ -42,13 +42,17 @@ def test_every_character_alone_and_in_company():
 
 def test_the_cache_is_bounded_in_bytes():
     cache = Cache(100_000)
-    for i in range(5000):
-        cache.put(f"key{i}", b"12")
-        cache.put("often", b"34")
-        assert cache.get("often") == b"34"
-    assert cache.held <= 50_000 and len(cache.new) + len(cache.old) < 600
-    cache.put("x" * 1000, b"12")
-    assert cache.get("x" * 1000) is None and cache.get("key0") is None
+    for i in range(500):
+        cache.settle()
+        keys = [f"key{i}-{k}" for k in range(10)] + ["often"]
+        new = cache.missing(keys)
+        assert "often" not in new or not i
+        cache.add(new, [b"12"] * len(new))
+        assert set(keys) <= set(cache.new) and len(cache.new) + len(cache.old) < 620
+    cache.add(["x" * 1000], [b"12"])
+    assert cache.new["x" * 1000] == b"12"
+    cache.settle()
+    assert cache.missing(["x" * 1000, "key0-0", "often"]) == ["x" * 1000, "key0-0"]
     enc = Encoder(PATH)
     enc.cache = Cache(20_000)
     texts = [r[1] or "" for r in documents()] + ["字" * 15_000, "word" * 9_000]
