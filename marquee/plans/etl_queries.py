@@ -9,14 +9,17 @@ upper-case and unknown categories."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marquee.operators import catalog as cat_ops
 from marquee.plans import standins as sv
 from marquee.plans.registry import register
-from marquee.session import scratch_path
+from marquee.session import reliable_checkpoint, scratch_path
 from marquee.sources.dumps import read_dump, write_dump
 from marquee.sources.snapshot import replace_children, sync_snapshot
+from marquee.sources.store import create_store, import_round, read_store
 from marquee.sources.tables import table
 
 TOP_N = 300  # W1's report; every other query works on all kept titles
@@ -296,3 +299,49 @@ def s3_sync_snapshot(spark, sf):
     "SELECT change, count(*) AS n FROM j GROUP BY change", "ranked", ("catalog",), _SYNC_CTES))
 def a4_import_summary(spark, sf):
     return cat_ops.import_summary(_sync(spark, sf))
+
+
+# ---- three import rounds into the versioned store (S3, J4, J5, S4 in a chain) ----------------
+
+# The n-th dump has the titles whose number is no multiple of 2 + n, and some
+# with more votes; titles leave, return and are new.
+ROUNDS_SQL = ("num AS (SELECT *, CAST(substring(tconst, 3) AS BIGINT) AS k FROM ranked)",
+              "r1 AS (SELECT tconst, k, row_number() OVER (ORDER BY tconst) AS id FROM num WHERE k % 3 <> 0)",
+              """r2 AS (
+  SELECT n.tconst, n.k, coalesce(r1.id, (SELECT count(*) FROM r1)
+           + row_number() OVER (PARTITION BY r1.id IS NULL ORDER BY n.tconst)) AS id
+  FROM num n LEFT JOIN r1 USING (tconst) WHERE n.k % 4 <> 0)""",
+              """r3 AS (
+  SELECT n.tconst, n.k, n.votes, r2.id AS old, coalesce(r2.id, greatest((SELECT max(id) FROM r2), (SELECT max(id) FROM r1))
+           + row_number() OVER (PARTITION BY r2.id IS NULL ORDER BY n.tconst)) AS id
+  FROM num n LEFT JOIN r2 USING (tconst) WHERE n.k % 5 <> 0)""",
+              """cast3 AS (
+  SELECT tconst, count(*) AS n_cast FROM (SELECT DISTINCT tconst, nconst, category, ordering, job, characters FROM restricted) GROUP BY tconst)""",
+              "ever AS (SELECT nconst, min(CASE WHEN k % 3 <> 0 THEN 1 WHEN k % 4 <> 0 THEN 2 ELSE 3 END) AS r "
+              "FROM restricted JOIN num USING (tconst) WHERE k % 3 <> 0 OR k % 4 <> 0 OR k % 5 <> 0 GROUP BY nconst)",
+              "person_id AS (SELECT nconst, row_number() OVER (ORDER BY r, nconst) AS id FROM ever)",
+              "first_person AS (SELECT tconst, min(id) AS first_person FROM restricted JOIN person_id USING (nconst) GROUP BY tconst)")
+
+
+@register("s3_import_rounds", etl_sql("""
+SELECT tconst, id, CASE WHEN old IS NULL THEN 'insert' WHEN k % 7 = 0 THEN 'update' ELSE 'unchanged' END AS change,
+       CAST(votes + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END AS INTEGER) AS votes,
+       CAST(coalesce(n_cast, 0) AS BIGINT) AS n_cast, first_person
+FROM r3 LEFT JOIN cast3 USING (tconst) LEFT JOIN first_person USING (tconst)
+UNION ALL SELECT tconst, id, 'delete', NULL, 0, NULL FROM r2 WHERE k % 5 = 0""", "restricted", ("ranked",), ROUNDS_SQL))
+def s3_import_rounds(spark, sf):
+    path = scratch_path(spark, f"store/{uuid.uuid4().hex}")
+    number = F.expr("CAST(substring(tconst, 3) AS BIGINT)")
+    titles = reliable_checkpoint(selected_titles(spark, sf).drop("rank"))
+    principals, names = reliable_checkpoint(restricted_principals(spark, sf)), stg_names(spark, sf)
+    create_store(spark, path)
+    for n in (1, 2, 3):
+        dump = titles.where(number % (2 + n) != 0).withColumn(
+            "votes", F.when(number % 7 == 0, F.col("votes") + n).otherwise(F.col("votes")).cast("int"))
+        import_round(spark, path, dump, principals.join(dump.select("tconst"), "tconst", "left_semi"), names)
+    changes, cast = read_store(spark, path, "changes"), read_store(spark, path, "cast")
+    per = cast.groupBy("movie_id").agg(F.count("*").alias("n_cast"), F.min("person_id").alias("first_person"))
+    gone = F.col("change") == "delete"
+    return changes.join(per, F.col("id") == F.col("movie_id"), "left").select(
+        "tconst", "id", "change", F.when(~gone, F.col("votes")).alias("votes"),
+        F.coalesce("n_cast", F.lit(0)).alias("n_cast"), "first_person")

@@ -9,6 +9,7 @@ from marquee.functions.vector import cosine_literal
 from marquee.operators import filters as flt
 from marquee.operators.cast import top_cast
 from marquee.operators.search import hybrid_search, knn_join, search
+from marquee.operators.vector_index import search_index
 from marquee.plans import standins as sv
 from marquee.plans.registry import register
 from marquee.plans.standins import with_views
@@ -271,12 +272,24 @@ def w3_top_cast(spark, sf):
 
 # ---- V5 approximate kNN ---------------------------------------------------------------
 
+#: Cells that the registered approximate search probes (of about sqrt(rows)).
+V5_PROBE = 16
+
+
 @register("v5_approx_knn")
 def v5_approx_knn(spark, sf):
-    from marquee.operators.ann import approx_knn_join
-    cat = sv.stored_catalog(spark, sf)
-    res = approx_knn_join(sv.requests(spark, sf).select("request_id", "qvec"), cat, k=10,
-                          n_cells=16, nprobe=12)
+    res = search_index(sv.requests(spark, sf), sv.stored_catalog(spark, sf), sv.stored_index(spark, sf), k=10, nprobe=V5_PROBE)
+    return res.select("request_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("v5_full_probe", with_views("""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, id, round(similarity, 6) AS similarity FROM (
+  SELECT r.request_id, c.id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.qvec AS DOUBLE[])) AS similarity,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY similarity DESC, c.id) AS rank
+  FROM requests r JOIN catalog c ON c.embedding IS NOT NULL) WHERE rank <= 10""", "catalog", "requests"))
+def v5_full_probe(spark, sf):
+    """Every cell probed and every row scored again: the exact search."""
+    res = search_index(sv.requests(spark, sf), sv.stored_catalog(spark, sf), sv.stored_index(spark, sf), k=10, nprobe=None, refine=None)
     return res.select("request_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 

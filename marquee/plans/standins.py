@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from marquee.functions.vector import norm_expr
 from marquee.operators.cast import first_per_key
+from marquee.operators.vector_index import build_index
 from marquee.session import scratch_path
+from marquee.sources.manifest import listing_key
 from marquee.sources.tables import table
 
 
@@ -118,14 +120,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
 STORE_VERSION = 2
 
 
+#: Tables that the stored stand-ins are built from.
+STORE_INPUTS = ("part", "lineitem", "embeddings", "supplier")
+
+
+def _input_key(spark: SparkSession, sf: str) -> str:
+    """Changes when an input file does: a table of one file by its status, a
+    folder of files by its listing."""
+    jvm = spark.sparkContext._jvm
+    parts = []
+    for name in STORE_INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        st = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        parts.append(listing_key(spark, [f"{sf}/{name}.parquet"]) if st.isDirectory()
+                     else f"{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(parts)
+
+
+def stored_path(spark: SparkSession, sf: str, name: str) -> str:
+    """Where a stored stand-in of these very input files lies."""
+    where = os.path.abspath(sf) if "://" not in sf else sf
+    key = hashlib.sha1(f"{where}|v{STORE_VERSION}|{_input_key(spark, sf)}".encode()).hexdigest()[:12]
+    return scratch_path(spark, f"tables/{key}/{name}")
+
+
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    key = hashlib.sha1(f"{os.path.abspath(sf)}|v{STORE_VERSION}".encode()).hexdigest()[:12]
-    path = scratch_path(spark, f"tables/{key}/{name}")
+    path = stored_path(spark, sf, name)
     if not _exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def stored_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the catalogue's stored vector index (V5)."""
+    path = stored_path(spark, sf, "vector_index")
+    if not _exists(spark, f"{path}/codes/_SUCCESS"):
+        build_index(stored_catalog(spark, sf), path)
+    return path
+
+
 def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue table: clustered by start year inside each file (row
     groups skip on year bounds) with the embedding norm stored once."""

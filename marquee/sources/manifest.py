@@ -1,6 +1,8 @@
 """Changed-input detection. Instead of conditional HTTP GETs, a job
 fingerprints its input files from file metadata and keeps only the files
-whose fingerprint differs from the last stored manifest."""
+whose fingerprint differs from the last stored manifest. A manifest is stored
+in versions; a file whose metadata changed is checked by its content's digest,
+so one that was only touched is not read again."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 MANIFEST_SCHEMA = T.StructType([T.StructField("path", T.StringType()),
                                 T.StructField("fingerprint", T.StringType())])
+STORED_SCHEMA = "path string, fingerprint string, digest string"
 
 
 def file_listing(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -32,3 +35,46 @@ def changed_files(current: DataFrame, manifest: DataFrame | None) -> tuple[DataF
         m = manifest.select("path", "fingerprint")
         changed = current.join(m, ["path", "fingerprint"], "left_anti")
     return changed, current.select("path", "fingerprint")
+
+
+def listing_key(spark: SparkSession, paths: list[str]) -> str:
+    """One value that changes when a file under ``paths`` does: a sum over the
+    files' hashes, computed where the listing is."""
+    row = file_listing(spark, paths).agg(
+        F.count("*"), F.sum(F.xxhash64("path", "fingerprint").cast("decimal(20,0)"))).first()
+    return f"{row[0]}-{row[1]}"
+
+
+def _digests(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("digest"))
+
+
+def create_manifest(spark: SparkSession, store: str) -> None:
+    """An empty stored manifest."""
+    empty = spark.createDataFrame([], STORED_SCHEMA)
+    empty.withColumn("version", F.lit(0).cast("long")).coalesce(1).write.mode("ignore").parquet(f"{store}/manifest/v0")
+
+
+def read_changed(spark: SparkSession, paths: list[str] | str, store: str, schema) -> tuple[DataFrame | None, int]:
+    """The rows of the Parquet files under ``paths`` that are new or whose
+    content changed since the stored manifest (None if there are none), and how
+    many files that is; then the next manifest version is stored. Only files
+    with new metadata are opened for their digest."""
+    versions = spark.read.schema(STORED_SCHEMA + ", version long").option("recursiveFileLookup", "true").parquet(f"{store}/manifest")
+    last = versions.agg(F.max("version")).first()[0]
+    before = versions.where(F.col("version") == last) if last else versions.limit(0)
+    before = before.select("path", F.col("fingerprint").alias("old"), F.col("digest").alias("old_digest"))
+    now = file_listing(spark, paths).select("path", "fingerprint").join(before, "path", "left")
+    same = now.where(F.col("old") == F.col("fingerprint")).select("path", "fingerprint", F.col("old_digest").alias("digest"))
+    touched = now.where(F.col("old").isNull() | (F.col("old") != F.col("fingerprint")))
+    opened = [r["path"] for r in touched.select("path").collect()]  # file names of one increment
+    changed, files = None, []
+    if opened:
+        known = touched.join(_digests(spark, opened), "path").select("path", "fingerprint", "digest", "old_digest")
+        known = known.cache()
+        files = [r["path"] for r in known.where(F.col("old_digest").isNull() | (F.col("old_digest") != F.col("digest"))).collect()]
+        same = same.unionByName(known.drop("old_digest"))
+        changed = spark.read.schema(schema).parquet(*files) if files else None
+    version = (last or 0) + 1
+    same.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{store}/manifest/v{version}")
+    return changed, len(files)
