@@ -19,7 +19,7 @@ def file_listing(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, size, mtime, fingerprint) for the files under ``paths``. The
     binary-file source never reads file contents when ``content`` is not
     selected, so this is a distributed listing."""
-    df = spark.read.format("binaryFile").load(paths).select(
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(
         F.col("path"), F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"))
     return df.withColumn("fingerprint", F.concat_ws(
