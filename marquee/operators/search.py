@@ -25,7 +25,7 @@ from marquee.operators.cast import top_cast
 from marquee.operators.filters import (
     MOVIE_TITLE_TYPES, actor_all, actor_any, genre_filter, range_filter,
     title_type_filter)
-from marquee.session import ship_package
+from marquee.session import reliable_checkpoint, ship_package
 
 # The hybrid score weights (similarity, rating, votes) and the
 # result cap of the search service.
@@ -53,29 +53,27 @@ def _norm(catalog: DataFrame):
     return "embedding_norm" if "embedding_norm" in catalog.columns else None
 
 
-# Up to this many winning ids are brought to the driver and pushed into the
-# scans as an IN list; a larger k keeps the winners distributed.
+#: Up to this many winners come to the driver as whole rows (they are the
+#: result) and go into the cast's scan as an IN list; more stay in a written table.
 COLLECT_TOP_K_MAX = 10_000
 
 
 def _top_k_then_cast(scored: DataFrame, score_col: str, k: int, cast: DataFrame,
                      people: DataFrame, cast_k: int) -> DataFrame:
-    if k > COLLECT_TOP_K_MAX:
-        top = scored.orderBy(F.desc(score_col), F.asc("id")).limit(k)
+    """The k best rows, found in one pass and kept whole; their position is
+    the rank, and only their cast is read."""
+    top = scored.orderBy(F.desc(score_col), F.asc("id")).limit(k)
+    if k <= COLLECT_TOP_K_MAX:
+        rows = [(*r, i + 1) for i, r in enumerate(top.collect())]
+        top = scored.sparkSession.createDataFrame(rows, T.StructType([*scored.schema.fields, T.StructField("rank", T.IntegerType())]))
+        at = scored.columns.index("id")
+        tc = F.broadcast(top_cast(cast, people, cast_k, movie_ids=[r[at] for r in rows]))  # a row for each of the k
+    else:
+        # A limit leaves one ordered partition: its row numbers are the ranks.
+        top = reliable_checkpoint(top.withColumn("rank", (F.monotonically_increasing_id() + 1).cast("int")))
         ids = top.select(F.col("id").alias("movie_id"))
         tc = top_cast(cast.join(ids, "movie_id", "left_semi"), people, cast_k)
-        # the k rows of a limit already sit in one partition; numbering them adds no gather
-        rank = F.row_number().over(Window.orderBy(F.desc(score_col), F.asc("id")))
-        return (top.withColumn("rank", rank).join(tc, F.col("id") == tc["movie_id"], "left")
-                .drop("movie_id"))
-    top_ids = [r[0] for r in (scored.orderBy(F.desc(score_col), F.asc("id"))
-                              .limit(k).select("id").collect())]
-    top = scored.filter(F.col("id").isin(top_ids))
-    tc = top_cast(cast, people, cast_k, movie_ids=top_ids)
-    rank = F.array_position(F.array(*[F.lit(i) for i in top_ids]) if top_ids
-                            else F.array().cast("array<bigint>"), F.col("id")).cast("int")
-    return (top.join(tc, top["id"] == tc["movie_id"], "left").drop("movie_id")
-            .withColumn("rank", rank))
+    return top.join(tc, F.col("id") == tc["movie_id"], "left").drop("movie_id")
 
 
 def search(catalog: DataFrame, cast: DataFrame, people: DataFrame,
