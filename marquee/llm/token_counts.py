@@ -1,9 +1,11 @@
 """Token counts from pre-token frequencies, without token ids.
 
 Every document becomes its pre-token frequencies. Frequent pre-tokens (the
-head, a size-bounded broadcast) are counted where they stand; the others are
-shuffled by pre-token, looked up in the worker's bounded cache there (in place
-of a join; one that was evicted is counted again) and summed per document.
+head, a size-bounded broadcast, each counted once) meet their counts where they
+stand. The others are dealt and sorted by pre-token: each distinct one is one
+run of rows, counted once, and its count meets the frequencies of the run, as in
+a merge join whose other side is the table of distinct pre-tokens. Sums per
+document follow. No ids leave a task.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from marquee.session import ship_package
 #: where a pre-token is counted, never whether, so it is taken from a bounded
 #: sample of about HEAD_DOCS documents.
 HEAD, HEAD_CHARS, HEAD_DOCS = 262_144, 8 << 20, 20_000
+#: A longer pre-token is counted where it stands: as a key it would carry its
+#: text through the shuffle.
+KEY_CHARS = 512
 
 
 def _pieces(path: str):
@@ -57,7 +62,7 @@ def _frequencies(path: str, head):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
         names = ["doc_id", "text_hash", "n_bytes", "known", "piece", "n"]
         for b in batches:
-            ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
+            ids_of, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             texts = b.column("text").to_pylist()
             for lo, hi in steps(texts):
                 cols: list[list] = [[], [], [], [], [], []]
@@ -65,26 +70,37 @@ def _frequencies(path: str, head):
                     parts = enc.parts(texts[i])
                     sizes = list(map(known.get, parts))
                     rest = Counter(p for p, s in zip(parts, sizes) if s is None)
+                    long = {p: m for p, m in rest.items() if len(p) > KEY_CHARS}
+                    here = sum(filter(None, sizes))
+                    if long:
+                        rest = {p: m for p, m in rest.items() if p not in long}
+                        here += sum(m * len(ids) for m, ids in zip(long.values(), enc.resolve(list(long)))) // enc.width
                     m = 1 + len(rest)
-                    cols[0] += [ids[i]] * m
+                    cols[0] += [ids_of[i]] * m
                     cols[1] += [hashes[i]] * m
                     cols[2] += [len(texts[i].encode())] + [None] * (m - 1)
-                    cols[3] += [sum(filter(None, sizes))] + [0] * (m - 1)
-                    cols[4] += ["\x00%s %d" % (ids[i], hashes[i]), *rest]
+                    cols[3] += [here] + [0] * (m - 1)
+                    cols[4] += ["\x00%s %d" % (ids_of[i], hashes[i]), *rest]
                     cols[5] += [0, *rest.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
     return frees(run)
 
 
-def _join_counts(path: str):
-    """Tokens of each row: its pre-token's count times its frequency."""
+def _run_counts(path: str):
+    """Tokens of each row of a partition sorted by pre-token: the count of its
+    pre-token, made once at the run's first row, times its frequency."""
     def run(batches):
         enc = encoder(path)
+        last, last_size = None, 0
         for b in batches:
             n, pieces = b.column("n").to_pylist(), b.column("piece").to_pylist()
-            known = enc.lookup({p for p, m in zip(pieces, n) if m})
-            got = [k if not m else m * (len(known[p]) // enc.width)
-                   for p, m, k in zip(pieces, n, b.column("known").to_pylist())]
+            new = list(dict.fromkeys(p for p, m in zip(pieces, n) if m and p != last))
+            size = dict(zip(new, (len(x) // enc.width for x in enc.resolve(new))))
+            if last is not None:
+                size[last] = last_size
+            got = [k if not m else m * size[p] for p, m, k in zip(pieces, n, b.column("known").to_pylist())]
+            if new:
+                last, last_size = new[-1], size[new[-1]]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), b.column("n_bytes"), pa.array(got, pa.int64())],
                 names=["doc_id", "text_hash", "n_bytes", "tokens"])
@@ -115,8 +131,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head_docs: int =
     head = spark.sparkContext.broadcast(known)
     rows = base.mapInArrow(_frequencies(path, head),
                            "doc_id long, text_hash long, n_bytes long, known long, piece string, n long")
-    tokens = rows.repartition("piece").mapInArrow(
-        _join_counts(path), "doc_id long, text_hash long, n_bytes long, tokens long")
+    tokens = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(
+        _run_counts(path), "doc_id long, text_hash long, n_bytes long, tokens long")
     # A repeated row repeats all of its rows: the sums are shared by them.
     total = tokens.groupBy("doc_id", "text_hash").agg(
         F.sum("tokens").alias("tokens"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows"))

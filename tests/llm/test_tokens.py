@@ -134,3 +134,28 @@ def test_read_back_goes_by_select(monkeypatch):
 def test_no_rows(spark, tmp_path):
     tf.write_token_files(spark.createDataFrame([], SCHEMA), PATH, str(tmp_path / "t"))
     assert tf.read_token_files(spark, str(tmp_path / "t")).collect() == []
+
+
+def test_each_distinct_pretoken_is_counted_once(monkeypatch):
+    """Runs over batch borders, rows without a pre-token between them."""
+    from marquee.llm import token_counts as tc
+    enc, seen = Encoder(PATH), []
+    resolve = enc.resolve
+    enc.resolve = lambda parts: seen.extend(parts) or resolve(parts)
+    monkeypatch.setattr(tc, "encoder", lambda path: enc)
+    rows = [("\0 1 2", 0, 7)] + sorted((p, n, 0) for p in (" a", " zebra", "wörter", "x" * 300) for n in range(1, 6))
+
+    def batches():
+        for lo in range(0, len(rows), 3):
+            some = rows[lo:lo + 3]
+            yield pa.RecordBatch.from_pydict({"doc_id": [1] * len(some), "text_hash": [2] * len(some), "n_bytes": [None] * len(some),
+                                              "piece": [r[0] for r in some], "n": [r[1] for r in some], "known": [r[2] for r in some]})
+    got = [t for b in tc._run_counts(PATH)(batches()) for t in b.column("tokens").to_pylist()]
+    assert got == [k if not n else n * len(ids(p)) for p, n, k in rows]
+    assert sorted(seen) == sorted({r[0] for r in rows if r[1]})
+
+
+def test_long_pretokens_stay_in_their_document(spark):
+    texts = ["a" * 600 + " b", "字" * 700, "a" * 600, " " + "zz" * 400 + " ends"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, rows), PATH).collect()} == {i: len(ids(t)) for i, t in enumerate(texts)}
