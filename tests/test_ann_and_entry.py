@@ -44,7 +44,7 @@ def test_v5_recall_at_10(spark):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
-    assert len(rows) >= 0 and "score" in df.columns
+    assert len(rows) > 0 and "score" in df.columns
 
 
 def test_every_oracle_has_a_query():
