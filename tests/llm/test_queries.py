@@ -2,6 +2,7 @@
 the pipeline's stages against their own definitions."""
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from marquee.llm import decontaminate as dc, mixing, toxicity as tx
 from marquee.llm.queries import ORACLE, QUERIES
-from tests.conftest import SF001
+from tests.conftest import SF001, SF01
 from tests.llm.test_decontaminate import words as norm_words
 from tests.llm.test_mixing import WORD, check
 from tests.llm.test_near_dedup import brute as near_brute
@@ -66,6 +67,58 @@ def test_op3(spark, con):
     assert got == want
 
 
+def test_op4(spark, con, docs):
+    rows = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, SF001).collect()}
+    assert set(rows) == {d[0] for d in docs}
+    for d, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    labels = dict(con.execute("SELECT doc_id, toxic FROM labels").fetchall())
+    told = [(rows[d].predicted, y) for d, y in labels.items() if d in rows and y is not None]
+    assert sum(p == y for p, y in told) >= 0.9 * len(told)
+
+
+def test_op6(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
+    kinds = {"assign": re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
+             "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
+    least = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    order = list(kinds)
+    want = {}
+    for d, t, *_ in docs:
+        found = [(m.start(), order.index(k), k, m.end()) for k, rx in kinds.items() for m in rx.finditer(t or "") if least[k](m)]
+        said = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+        want[d] = (*[sum(f[2] == k for f in found) for k in order], hashlib.sha256(said.encode()).hexdigest())
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op6_secret_scan"](spark, SF01).collect()}
+    assert got == want and any(any(w[:3]) for w in want.values())
+
+
+def test_op7(spark, docs):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t, *_ in docs:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        want.append((d, len((t or "").encode()), n, n > 512))
+    assert sorted(map(tuple, QUERIES["op7_token_counts"](spark, SF001).collect())) == sorted(want)
+
+
+def test_op10(spark, docs):
+    rows = QUERIES["op10_source_mixing"](spark, SF001).collect()
+    source = {d[0]: d[3] for d in docs}
+    size = {d[0]: len(WORD.findall(d[1] or "")) for d in docs}
+    names = sorted(set(source.values()), key=lambda x: (x is None, x or ""))
+    of = {n: sum(size[d] for d in size if source[d] == n) for n in names}
+    goal = dict(zip(names, mixing.targets([of[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    taken = dict.fromkeys(names, 0)
+    for r in rows:
+        assert (r["size"], r.source_size) == (size[r.doc_id], of[source[r.doc_id]]) and abs(r.target - goal[source[r.doc_id]]) < 1e-6
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    assert len(rows) == len(docs) and all(abs(taken[n] - goal[n]) <= 32 for n in names)
+    again = QUERIES["op10_source_mixing"](spark, SF001).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
 def test_op8(spark, docs):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, start = [], 0
