@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marquee.operators.history import cap_message_text
 from marquee.operators.tasks import ACTIVE, FINISHED, QUEUED, RUNNING
-from marquee.session import scratch_path, ship_package
+from marquee.session import keyed_state, scratch_path, ship_package
 from marquee.sources.ledger import create_ledger, epoch_writer, read_ledger
 
 
@@ -33,15 +33,17 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Drive a stream over everything available, writing a parquet table."""
-    q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).outputMode(mode)
-         .trigger(availableNow=True).start())
+    with keyed_state(stream.sparkSession):
+        q = (stream.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint).outputMode(mode)
+             .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def run_foreach_batch(stream: DataFrame, fn, checkpoint: str) -> None:
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def run_foreach_batch(stream: DataFrame, fn, checkpoint: str, mode: str = "append") -> None:
+    with keyed_state(stream.sparkSession):
+        q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+             .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -95,21 +97,40 @@ class TaskFold(StatefulProcessor):
         pass
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """:class:`TaskFold` as a streaming aggregation (update mode). Each row has
+    its batch's time; each part of the fold keeps the time of the batch that
+    brought it first, so a task is emitted when one of them is of this batch."""
+    now = F.col("now")
+    parts = rows.withColumn("now", F.unix_micros(F.current_timestamp())).groupBy("task_id").agg(
+        F.max(F.struct("at", "event_id", "status", (-now).alias("seen"), "error", "result_text")).alias("last"),
+        F.min(F.when((F.col("status") == QUEUED) & F.col("at").isNotNull(), F.struct("at", now.alias("seen")))).alias("first"),
+        F.max(F.when((F.col("status") == RUNNING) & F.col("at").isNotNull(), F.struct("at", (-now).alias("seen")))).alias("run"),
+        F.max("now").alias("now"))
+    version = F.greatest(-F.col("last.seen"), F.col("first.seen"), -F.col("run.seen"))
+    return parts.where(version == F.col("now")).select(
+        "task_id", "last.status", F.col("first.at").alias("created_at"), F.col("run.at").alias("started_at"),
+        F.when(F.col("last.status").isin(*FINISHED), F.col("last.at")).alias("finished_at"), "last.error", "last.result_text",
+        version.alias("version"))
+
+
 def task_changes(events: DataFrame, expire_days: int | None = None) -> DataFrame:
     """A stream of task events (task_id, event_id, ts, status[, error,
     result_text]) to the task rows they change, each with a growing
     ``version``. With ``expire_days`` the stream is watermarked by it and the
-    state of finished tasks goes that long after their end."""
-    ship_package(events.sparkSession)
+    state of finished tasks goes that long after their end (a timer of
+    :class:`TaskFold`); without, no task is forgotten and the fold is an
+    aggregation, to be run in update mode."""
     text = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("error", "result_text")]
     rows = events.select(F.col("task_id").cast("long"), F.col("event_id").cast("long"),
                          F.col("ts").cast("timestamp").alias("ts"), "status", *text)
     rows = rows.withColumn("at", F.unix_micros("ts"))
-    if expire_days is not None:
-        rows = rows.withWatermark("ts", f"{expire_days} days")
-    changed = rows.groupBy("task_id").transformWithState(
-        TaskFold(None if expire_days is None else expire_days * 86_400_000), TASK_SCHEMA.replace("timestamp", "long"),
-        "Update", "None" if expire_days is None else "EventTime")
+    if expire_days is None:
+        changed = _folded(rows)
+    else:
+        ship_package(events.sparkSession)
+        changed = rows.withWatermark("ts", f"{expire_days} days").groupBy("task_id").transformWithState(
+            TaskFold(expire_days * 86_400_000), TASK_SCHEMA.replace("timestamp", "long"), "Update", "EventTime")
     return changed.select(*[F.timestamp_micros(c).alias(c) if c in _TIMES else F.col(c) for c in _TASK])
 
 
@@ -126,7 +147,8 @@ def task_stream(spark: SparkSession, events_stream: DataFrame, path: str, checkp
     """Fold the event stream into a table of task changes, each epoch once;
     a batch costs what its own tasks cost. Returns the current tasks."""
     create_ledger(spark, path, TASK_SCHEMA)
-    run_foreach_batch(task_changes(events_stream, expire_days), epoch_writer(path), checkpoint)
+    run_foreach_batch(task_changes(events_stream, expire_days), epoch_writer(path), checkpoint,
+                      "update" if expire_days is None else "append")
     return current_tasks(spark, path)
 
 

@@ -237,3 +237,19 @@ def test_s6_sink_nulls_to_empty(spark, tmp_dir):
     write_complaints(df, tmp_dir + "/c")
     rows = spark.read.parquet(tmp_dir + "/c").collect()
     assert len(rows) == 2 and rows[0].complaint_text == ""
+
+
+def test_streams_bring_their_own_state_store(spark):
+    # a session that was not made by get_spark: typed state needs RocksDB
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        df = spark.createDataFrame([_u(1, 1, cb="menu:add_genre"), _u(1, 2, text="war")], SCHEMA)
+        out = run_dir(spark, "plain-out")
+        run_to_parquet(chat_sessions(replay(spark, df, "plain")), out, run_dir(spark, "plain-ck"))
+        assert [(r.kind, r.tag) for r in spark.read.parquet(out).collect()] == [("add_genre", "war")]
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
