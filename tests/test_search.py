@@ -2,6 +2,7 @@
 the batch kNN join against a brute-force numpy answer."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -195,3 +196,37 @@ def test_knn_join_actor_filter_blocked_equals_broadcast(spark, monkeypatch):
     a = rows(knn_join(req, cat, k=4, cast=cast, people=people))
     monkeypatch.setattr(S, "TOKEN_BLOCK", 1)
     assert rows(knn_join(req, cat, k=4, cast=cast, people=people, max_broadcast_requests=50)) == a
+
+
+def _random_block(n, m):
+    rng = np.random.default_rng(4)
+    cat = pd.DataFrame({"id": rng.permutation(m), "embedding": list(rng.integers(-2, 3, size=(m, 4)).astype(np.float32)),
+                        "start_year": rng.integers(1970, 2020, m), "runtime_minutes": 90, "rating": 5.0, "votes": 10,
+                        "genres": [["red"] if i % 3 else ["blue"] for i in range(m)]})
+    req = pd.DataFrame({"request_id": np.arange(n), "qvec": list(rng.integers(-2, 3, size=(n, 4)).astype(np.float32)),
+                        "from_year": np.where(np.arange(n) % 2, 1990.0, np.nan), "include_genres": [["red"]] * n})
+    return cat, req
+
+
+@pytest.mark.parametrize("mode", ["similarity", "hybrid"])
+def test_knn_tiles_find_the_same_rows(monkeypatch, mode):
+    import marquee.operators.search as S
+    cat, req = _random_block(30, 200)
+    run = lambda: S._score_block(cat, S._requests_payload(req, 5), 5, mode, S.HYBRID_WEIGHTS, 8)
+    key = ["request_id", "score", "id"]
+    whole = run().sort_values(key, ignore_index=True)
+    monkeypatch.setattr(S, "TILE_MOVIES", 7)
+    pd.testing.assert_frame_equal(run().sort_values(key, ignore_index=True), whole)
+
+
+def test_knn_memory_does_not_grow_with_the_cell():
+    import tracemalloc
+
+    import marquee.operators.search as S
+    cat, req = _random_block(512, 40_000)
+    payload = S._requests_payload(req, 5)
+    tracemalloc.start()
+    S._score_block(cat, payload, 5, "similarity", S.HYBRID_WEIGHTS, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
