@@ -62,6 +62,33 @@ def test_full_probe_is_exact_and_few_requests_equal_many(spark, index):
     assert hit >= 0.9
 
 
+def test_many_requests_probing_much_equal_few(spark, index, monkeypatch):
+    import marquee.operators.vector_index as V
+    rows, df, path = index
+    queries, _ = _vectors(spark, 40, 2)
+    req = spark.createDataFrame(queries, "request_id long, qvec array<double>")
+    few = _ids(search_index(req, df, path, 5, 0.7, 8))
+    monkeypatch.setattr(V, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(V, "BLOCK_REQUESTS", 7)
+    monkeypatch.setattr(V, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(V, "_dealt_requests", None)  # the cells are not dealt to
+    monkeypatch.setattr(V, "_codes_bytes", lambda codes: 0)
+    assert _ids(search_index(req, df, path, 5, 0.7, 8, max_requests=10)) == few
+
+
+def test_exact_search_ships_no_pair_but_the_best(spark, index, monkeypatch):
+    import marquee.operators.vector_index as V
+    rows, df, path = index
+    queries, _ = _vectors(spark, 40, 2)
+    req = spark.createDataFrame(queries, "request_id long, qvec array<double>")
+    monkeypatch.setattr(V, "CHUNK_ROWS", 40)
+    cents, _ = V._model(spark, path)
+    codes = spark.read.schema(V.CODED).parquet(f"{path}/codes")
+    some = V._exact_candidates(req, df, codes, cents, len(cents), 5, len(queries))
+    assert some.count() == 5 * len(queries)
+    assert _ids(search_index(req, df, path, 5, refine=None)) == _exact(rows, queries, 5)
+
+
 def test_rows_are_appended_without_fitting(spark, index):
     rows, df, _ = index
     path = run_dir(spark, "index-append")
