@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as tx
 from marquee.operators.profiles import fold_profiles, parse_opinion, parse_tag_list
-from marquee.operators.text import apply_translations, extract_mentions, route_language
+from marquee.operators.text import apply_translations, extract_mentions, route_language, title_case_runs
 
 
 def one(spark, col, value):
@@ -30,6 +30,18 @@ def test_x1_golden(spark, text, names, exact):
         assert all(n in got for n in names)
 
 
+def test_x1_long_runs(spark):
+    """A run of words, however long, takes no stack of the matcher."""
+    words = " ".join("Word" + chr(97 + i % 26) for i in range(30_000))
+    assert list(one(spark, title_case_runs, words)) == [words]
+    assert list(one(spark, extract_mentions, words)) == [words]
+    assert list(one(spark, extract_mentions, "Ab Cd" + " Please" * 30_000)) == ["Ab Cd"]
+    kept = "Ab Cd" + " Please" * 30_000 + " Ef"
+    assert list(one(spark, extract_mentions, kept + " Pls")) == [kept]
+    assert list(one(spark, extract_mentions, "Ab Cd" + " " * 60_000 + "Ef")) == ["Ab Cd Ef"]
+    assert list(one(spark, extract_mentions, "actor ab and  and cd pleaser , ef gh и")) == ["Cd Pleaser"]
+
+
 def test_x2_golden(spark):
     rec = ("Вот что могу предложить:\n1. <b>Властелин колец: Братство кольца</b> (2001) — Эпическая история."
            "\n2. <b>Лабиринт Фавна</b> (2006) — Сказка.")
