@@ -230,3 +230,39 @@ def test_knn_memory_does_not_grow_with_the_cell():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150 << 20
+
+
+def test_floor_leaves_the_best_and_spares_the_rest(monkeypatch):
+    """A floor carried from batch to batch changes no result, whether filters
+    look at whole tiles or at single pairs, and fewer rows leave a batch."""
+    import numpy as np
+    import pandas as pd
+    from marquee.operators import search as ops
+
+    rng = np.random.RandomState(1)
+    n, words = 900, ["a", "b", "c", "d"]
+
+    def some(p):
+        return [list(rng.choice(words, rng.randint(1, 3), replace=False)) if rng.rand() < p else None for _ in range(n)]
+    movies = pd.DataFrame({
+        "id": rng.permutation(n), "embedding": list(rng.randint(-1, 2, (n, 4)).astype(float)), "genres": some(0.9), "matched": some(0.7),
+        "rating": rng.rand(n) * 10, "votes": 1.0, "start_year": np.where(rng.rand(n) < 0.1, np.nan, 1990.0), "runtime_minutes": 90.0})
+    asked = pd.DataFrame({
+        "request_id": np.arange(n), "qvec": list(rng.randint(-1, 2, (n, 4)).astype(float)), "include_genres": some(0.3),
+        "exclude_genres": some(0.3), "_tokens": [t or [] for t in some(0.3)],
+        "min_rating": np.where(rng.rand(n) < 0.5, np.nan, 6.0), "from_year": np.where(rng.rand(n) < 0.5, np.nan, 1980.0)})
+    req = ops._requests_payload(asked, 5)
+
+    def run(few, floor):
+        monkeypatch.setattr(ops, "FEW_PAIRS", few)
+        monkeypatch.setattr(ops, "TILE_MOVIES", 70)
+        parts = [p for a in range(0, n, 300) for p in ops._score_tiles(
+            movies[a:a + 300], req, 5, "similarity", ops.HYBRID_WEIGHTS, 256, floor)]
+        found = pd.concat(parts).sort_values(["request_id", "score", "id"], ascending=[True, False, True])
+        best = found[found.groupby("request_id").cumcount() < 5]
+        return len(found), list(zip(best["request_id"], best["id"], best["score"].round(9)))
+    n_plain, plain = run(0, None)
+    for few in (0, 1 / 8, 2):
+        n_floor, floored = run(few, np.full(n, -np.inf))
+        assert floored == plain
+        assert n_floor < n_plain
